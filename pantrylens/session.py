@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -31,14 +29,17 @@ def pin_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; fall back to a scratch one only when unset."""
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir, also set as checkpoint folder.
+
+    There is no machine-local fallback: executors on other nodes could not read it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if named:
+    if not named:
         if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return context.getCheckpointDir()
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pantrylens-ckpt-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(named)
+    return named
