@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantrylens.llm import line_rules, packing, quadratic, sampled_pieces, token_counts, voronoi_knn, warc
+from pantrylens.llm import line_rules, lsh_forest, packing, quadratic, sampled_pieces, token_counts, voronoi_knn, warc
 from pantrylens.llm.shared import remainder, saved, scratch_path
 from pantrylens.session import pin_utc
 
@@ -36,6 +36,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(table(spark, sf_dir, "documents")).drop("cleaned_text")
 
@@ -61,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op3_sampled_pieces, op4_warc, op6_line_rules, op7_packing, op8_quadratic, op9_voronoi_knn, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op3_sampled_pieces, op4_warc, op5_lsh_forest, op6_line_rules, op7_packing, op8_quadratic, op9_voronoi_knn, op10_token_counts)}
 
 # DuckDB has no CRC-32 function and no RE2-free word split cheaper than this one; only these are expressible.
 ORACLES = {
