@@ -58,9 +58,9 @@ def test_interval_search():
         assert all(len(v) == 1 for v in by.values()) and len(by) == len(set(valid.values()))
 
 
-@pytest.mark.parametrize("hot", [5000, 2])
+@pytest.mark.parametrize("hot", [5000, 1])
 def test_edge_documents(hot, docs, no_docs, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", hot)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert run(docs) == plain(rows, 50)
     assert run(docs, least=30) == plain(rows, 30)
@@ -69,7 +69,7 @@ def test_edge_documents(hot, docs, no_docs, monkeypatch):
 
 @pytest.mark.parametrize("hot", [5000, 3])
 def test_shared_passages(hot, spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", hot)
     rng = random.Random(7)
     make = lambda n: "".join(rng.choice("abcdé 日\n") for _ in range(n))
     passages = [make(rng.choice([20, 45, 49, 50, 51, 90, 400])) for _ in range(12)]
