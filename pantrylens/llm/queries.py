@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantrylens.llm import line_rules, lsh_forest, packing, quadratic, sampled_pieces, suffix_dedup, token_counts, voronoi_knn, warc
+from pantrylens.llm import context_mixing, line_rules, lsh_forest, packing, quadratic, sampled_pieces, suffix_dedup, token_counts, voronoi_knn, warc
 from pantrylens.llm.shared import remainder, saved, scratch_path
 from pantrylens.session import pin_utc
 
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_texts(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -70,7 +74,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op3_sampled_pieces, op4_warc, op5_lsh_forest, op6_line_rules, op7_packing, op8_quadratic, op9_voronoi_knn, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_context_mixing, op2_suffix_dedup, op3_sampled_pieces, op4_warc, op5_lsh_forest, op6_line_rules, op7_packing, op8_quadratic, op9_voronoi_knn, op10_token_counts)}
 
 # DuckDB has no CRC-32 function and no RE2-free word split cheaper than this one; only these are expressible.
 ORACLES = {
