@@ -46,25 +46,26 @@ def present(df: DataFrame, columns: Sequence[str]) -> list[str]:
 
 
 def epoch_to_timestamp(df: DataFrame, columns: Sequence[str], earliest: int = EPOCH_SECONDS[0]) -> DataFrame:
-    """Epoch seconds or milliseconds become timestamps; the value range of the column decides.
+    """Epoch seconds or milliseconds become timestamps.
 
-    ``earliest`` is the smallest epoch second taken for a time.
+    A column whose values are not all epoch times of one unit keeps its type and values. The bounds decide
+    the type of the column, so they are read when the plan is built: one row of two values a column.
     """
     numeric = set(numeric_columns(df))
     columns = [c for c in present(df, columns) if c in numeric]
     if not columns:
         return df
-    bounds = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))])
-    bounds = bounds.select(F.struct(*bounds.columns)).scalar()
+    bounds = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]).first()
     out = {}
     for c in columns:
         lo, hi = bounds[f"lo_{c}"], bounds[f"hi_{c}"]
-        whole = F.col(c).cast("bigint")
-        out[c] = (
-            F.when((lo > earliest) & (hi < EPOCH_SECONDS[1]), F.timestamp_seconds(whole))
-            .when(lo > EPOCH_MILLIS, F.timestamp_millis(whole))
-        )
-    return df.withColumns(out)
+        if lo is None:
+            continue
+        if lo > earliest and hi < EPOCH_SECONDS[1]:
+            out[c] = F.timestamp_seconds(F.col(c).cast("bigint"))
+        elif lo > EPOCH_MILLIS:
+            out[c] = F.timestamp_millis(F.col(c).cast("bigint"))
+    return df.withColumns(out) if out else df
 
 
 def standardize_ids(df: DataFrame) -> DataFrame:
@@ -112,6 +113,8 @@ def fill_missing(df: DataFrame, strategy: str = "smart", key: str | None = None,
     if strategy == "zero":
         return df.na.fill(0).na.fill("")
     if strategy == "forward_fill":
+        if key is None or time is None:
+            raise ValueError("forward_fill needs key and time")
         rest = [c for c in df.columns if c not in (key, time)]
         upto = Window.partitionBy(key).orderBy(time, *rest).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in rest})
@@ -238,14 +241,17 @@ def clean_table(
     ids: bool = True,
     outliers: Sequence[str] | None = (),
     clamp: bool = False,
+    key: str | None = None,
+    time: str | None = None,
+    earliest: int = EPOCH_SECONDS[0],
 ) -> DataFrame:
     """The fixed cleaning order as one plan; each step can be switched off.
 
     ``outliers`` names the columns to flag (``None`` = every numeric column). ``clamp`` is for
-    stock tables, where a negative quantity is an entry error.
+    stock tables, where a negative quantity is an entry error. ``key`` and ``time`` serve ``forward_fill``.
     """
     times = [c for c in df.columns if has_word(c, TIME_WORDS)] if time_columns is None else list(time_columns)
-    out = fill_missing(epoch_to_timestamp(df, times), strategy)
+    out = fill_missing(epoch_to_timestamp(df, times, earliest), strategy, key, time)
     if dedup and "id" in out.columns:
         out = dedup_by_key(out)
     if negatives and clamp:

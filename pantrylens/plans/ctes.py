@@ -2,7 +2,7 @@
 
 PLACE = """CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 WHEN 'FURNITURE' THEN 3
  WHEN 'HOUSEHOLD' THEN 4 WHEN 'MACHINERY' THEN 5 END"""
-NET = "l_extendedprice / l_quantity * 0.97314159::DOUBLE"
+NET = "(l_extendedprice / l_quantity)"
 
 CTES: dict[str, str] = {
     "fct_orders": f"""

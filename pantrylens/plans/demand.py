@@ -41,7 +41,7 @@ def _(b):
 
 @query(
     "daily_demand_direct",
-    """SELECT item_id::BIGINT AS item_id, to_timestamp(created)::TIMESTAMP::DATE AS date,
+    """SELECT item_id::BIGINT AS item_id, make_timestamp(created * 1000000)::DATE AS date,
     sum(coalesce(quantity, 0)) AS demand, round(sum(coalesce(quantity, 0) * coalesce(price, 0)), 2) AS revenue
     FROM (SELECT * REPLACE (created AS created) FROM lines_raw) GROUP BY 1, 2""",
 )
@@ -66,23 +66,23 @@ def _(b):
 
 
 ITEM_PERIOD = """
-SELECT l.item_id, {period} AS period, sum(l.quantity) AS demand_quantity, round(avg(l.price), 4) AS avg_price,
-  round(sum(l.cost), 2) AS total_cost
+SELECT l.item_id, {period} AS period, sum(l.quantity) AS demand_quantity, round(avg(l.price), 8) AS avg_price,
+  round(sum(l.cost), 8) AS total_cost
 FROM fct_lines l LEFT JOIN fct_orders o ON l.order_id = o.id {where} GROUP BY 1, 2"""
 WEEK_LABEL = """strftime(date_trunc('week', o.created), '%Y-%m-%d') || '/' ||
  strftime(date_trunc('week', o.created) + INTERVAL 6 DAY, '%Y-%m-%d')"""
 
 
 def _rounded(df):
-    return df.withColumn("avg_price", r4("avg_price")).withColumn("total_cost", F.round("total_cost", 2))
+    return df.withColumn("avg_price", r8("avg_price")).withColumn("total_cost", r8("total_cost"))
 
 
 @query(
     "demand_per_item_daily",
-    ITEM_PERIOD.format(period="o.created::DATE", where="WHERE o.created >= '1996-01-01' AND o.created <= '2000-12-31'"),
+    ITEM_PERIOD.format(period="o.created::DATE", where=""),
 )
 def _(b):
-    return _rounded(d.demand_per_item(b.lines, b.orders, "daily", "1996-01-01", "2000-12-31"))
+    return _rounded(d.demand_per_item(b.lines, b.orders, "daily"))
 
 
 @query("demand_per_item_weekly", ITEM_PERIOD.format(period=WEEK_LABEL, where=""))
@@ -118,7 +118,7 @@ def _(b):
 
 @query(
     "weekly_place_item",
-    """SELECT w.place_id, item_id, week_start, demand, transactions::BIGINT AS transactions, round(avg_price, 4) AS avg_price,
+    """SELECT w.place_id, item_id, week_start, demand, transactions::BIGINT AS transactions, round(avg_price, 8) AS avg_price,
   first_transaction, last_transaction, days_active, coalesce(a.flag, false) AS is_active
 FROM weekly w LEFT JOIN (SELECT p.id, max(o.created) >= TIMESTAMP '2001-07-31' - INTERVAL 90 DAY AS flag
   FROM dim_places p JOIN fct_orders o ON o.place_id = p.id GROUP BY 1) a ON w.place_id = a.id""",
@@ -127,26 +127,26 @@ def _(b):
     from pantrylens.operators.cleaning import place_activity
 
     flags = place_activity(b.places, b.orders, cutoff="2001-07-31")
-    return d.with_active_flag(weekly(b), flags).withColumn("avg_price", r4("avg_price"))
+    return d.with_active_flag(weekly(b), flags).withColumn("avg_price", r8("avg_price"))
 
 
 @query(
     "weekly_place_item_ai",
-    "SELECT place_id, item_id, week_start, demand, round(avg_price, 4) AS avg_price, transaction_count FROM weekly_ai",
+    "SELECT place_id, item_id, week_start, demand, round(avg_price, 8) AS avg_price, transaction_count FROM weekly_ai",
 )
 def _(b):
-    return weekly_ai(b).withColumn("avg_price", r4("avg_price"))
+    return weekly_ai(b).withColumn("avg_price", r8("avg_price"))
 
 
 @query(
     "daily_demand_dashboard",
-    """SELECT item_id::BIGINT AS item_id, to_timestamp(created)::TIMESTAMP::DATE AS date,
-  sum(coalesce(quantity, 1)) AS daily_quantity, round(sum(coalesce(price, 0)), 2) AS daily_revenue
+    """SELECT item_id::BIGINT AS item_id, make_timestamp(created * 1000000)::DATE AS date,
+  sum(coalesce(quantity, 1)) AS daily_quantity, round(sum(coalesce(price, 0)), 8) AS daily_revenue
 FROM lines_raw WHERE item_id IS NOT NULL GROUP BY 1, 2""",
 )
 def _(b):
     return d.daily_for_dashboard(b.lines_raw.withColumn("created", F.timestamp_seconds("created"))).withColumn(
-        "daily_revenue", F.round("daily_revenue", 2)
+        "daily_revenue", r8("daily_revenue")
     )
 
 
@@ -164,12 +164,11 @@ SELECT i.id, i.title, i.type, i.price, coalesce(s.total, 0) AS total_quantity_so
   coalesce(date_diff('day', s.last_sale, (SELECT max(o_orderdate)::DATE FROM orders)), 999) AS days_since_last_sale,
   s.last_sale AS last_sale_date
 FROM dim_items i LEFT JOIN (SELECT item_id, sum(quantity) AS total, min(created)::DATE AS first_sale, max(created)::DATE AS last_sale
-  FROM fct_lines WHERE item_id % 10 <> 4 GROUP BY 1) s ON i.id = s.item_id"""
+  FROM fct_lines GROUP BY 1) s ON i.id = s.item_id"""
 
 
 def item_metrics(b: Bound):
-    """Every tenth item has no sales, so the defaults are exercised."""
-    sold = d.daily_for_dashboard(b.lines.where("item_id % 10 <> 4"))
+    sold = d.daily_for_dashboard(b.lines)
     return d.item_metrics(b.items.select("id", "title", "type", "price"), sold, as_of(b))
 
 
@@ -198,22 +197,22 @@ def _(b):
     return d.expand_full_calendar(weekly(b)).drop("avg_price")
 
 
-@query("price_forward_fill", "SELECT place_id, item_id, week_start, round(avg_price, 4) AS avg_price FROM expanded")
+@query("price_forward_fill", "SELECT place_id, item_id, week_start, round(avg_price, 8) AS avg_price FROM expanded")
 def _(b):
-    return d.expand_full_calendar(weekly(b)).select("place_id", "item_id", "week_start", r4("avg_price").alias("avg_price"))
+    return d.expand_full_calendar(weekly(b)).select("place_id", "item_id", "week_start", r8("avg_price").alias("avg_price"))
 
 
 @query(
     "item_feature_agg",
     """SELECT item_id, sum(quantity) AS quantity_sum, round(avg(quantity), 4) AS quantity_mean,
-  round(stddev_samp(quantity), 4) AS quantity_std, count(quantity) AS quantity_count, round(avg(price), 4) AS price_mean,
-  round(stddev_samp(price), 4) AS price_std, round(sum(cost), 4) AS cost_sum, round(avg(cost), 4) AS cost_mean
+  round(stddev_samp(quantity), 4) AS quantity_std, count(quantity) AS quantity_count, round(avg(price), 8) AS price_mean,
+  round(stddev_samp(price), 4) AS price_std, round(sum(cost), 8) AS cost_sum, round(avg(cost), 8) AS cost_mean
 FROM fct_lines GROUP BY 1""",
 )
 def _(b):
     out = d.item_feature_aggregates(b.lines)
-    rounded = ["quantity_mean", "quantity_std", "price_mean", "price_std", "cost_sum", "cost_mean"]
-    return out.withColumns({c: r4(c) for c in rounded})
+    fine = {c: r8(c) for c in ("price_mean", "cost_sum", "cost_mean")}
+    return out.withColumns({c: r4(c) for c in ("quantity_mean", "quantity_std", "price_std")} | fine)
 
 
 @query(
@@ -284,13 +283,13 @@ def _(b):
 
 @query(
     "item_history_last_n",
-    """SELECT place_id, item_id, week_start, demand, round(avg_price, 4) AS avg_price, recency FROM (
+    """SELECT place_id, item_id, week_start, demand, round(avg_price, 8) AS avg_price, recency FROM (
   SELECT *, row_number() OVER (PARTITION BY place_id, item_id ORDER BY week_start DESC) AS recency FROM weekly_ai) WHERE recency <= 52""",
 )
 def _(b):
     out = d.last_n_weeks(weekly_ai(b), 52)
     return out.select(
-        "place_id", "item_id", "week_start", "demand", r4("avg_price").alias("avg_price"), F.col("recency").cast("bigint").alias("recency")
+        "place_id", "item_id", "week_start", "demand", r8("avg_price").alias("avg_price"), F.col("recency").cast("bigint").alias("recency")
     )
 
 
@@ -307,13 +306,13 @@ def _(b):
     "enrich_titles",
     """SELECT q.place_id, q.item_id, coalesce(p.title, 'Location ' || q.place_id) AS place_title,
   coalesce(i.title, 'Item ' || q.item_id) AS item_title, coalesce(s.demand_type, 'Unknown') AS demand_type
-FROM (SELECT DISTINCT o.place_id, l.item_id FROM fct_lines l JOIN fct_orders o ON o.id = l.order_id) q
-LEFT JOIN (SELECT * FROM dim_places WHERE id <> 2) p ON p.id = q.place_id LEFT JOIN items_raw i ON i.id = q.item_id
+FROM (SELECT DISTINCT o.place_id, l.item_id FROM menu_lines l JOIN fct_orders o ON o.id = l.order_id) q
+LEFT JOIN dim_places p ON p.id = q.place_id LEFT JOIN menu_items i ON i.id = q.item_id
 LEFT JOIN sbc s ON s.place_id = q.place_id AND s.item_id = q.item_id""",
 )
 def _(b):
-    pairs = d.lines_with_orders(b.lines, b.orders, "inner").select("place_id", "item_id").distinct()
-    return d.enrich_titles(pairs, b.places.where("id <> 2"), b.items_raw, classify.sbc_classify(weekly(b)))
+    pairs = d.lines_with_orders(b.menu_lines, b.orders, "inner").select("place_id", "item_id").distinct()
+    return d.enrich_titles(pairs, b.places, b.menu_items, classify.sbc_classify(weekly(b)))
 
 
 def _share_sql(part: str, name: str) -> str:

@@ -98,10 +98,10 @@ def _(b):
     return f.cv_rolling(f.rolling_features(series(b))).select("place_id", "item_id", "week_start", r4("cv_rolling").alias("cv_rolling"))
 
 
-@q("price_change_flag", f"SELECT {KEYS}, round(avg_price, 4) AS avg_price_week, price_change_flag FROM feat")
+@q("price_change_flag", f"SELECT {KEYS}, round(avg_price, 8) AS avg_price_week, price_change_flag FROM feat")
 def _(b):
     return f.price_change_flag(series(b)).select(
-        "place_id", "item_id", "week_start", r4("avg_price_week").alias("avg_price_week"), "price_change_flag"
+        "place_id", "item_id", "week_start", r8("avg_price_week").alias("avg_price_week"), "price_change_flag"
     )
 
 
@@ -160,7 +160,7 @@ FEATURES_SQL = f"""
 SELECT f.place_id, f.item_id, f.week_start, f.demand, lag_1w, lag_2w, lag_4w, lag_52w, round(roll_mean_4w, 4) AS roll_mean_4w,
   round(roll_std_4w, 4) AS roll_std_4w, roll_max_4w, roll_min_4w, round(zero_demand_ratio, 8) AS zero_demand_ratio,
   days_since_demand, demand_streak, round(roll_std_4w / CASE WHEN roll_mean_4w = 0 THEN 1 ELSE roll_mean_4w END, 4) AS cv_rolling,
-  round(avg_price, 4) AS avg_price_week, price_change_flag, {CALENDAR_SQL.format(c='f.week_start')},
+  round(avg_price, 8) AS avg_price_week, price_change_flag, {CALENDAR_SQL.format(c='f.week_start')},
   CASE WHEN h.week_start IS NULL THEN 0 ELSE 1 END AS is_holiday, sbc.demand_type,
   CASE WHEN f.week_start <= DATE '{TRAIN_END}' THEN 'train' WHEN f.week_start <= DATE '{VAL_END}' THEN 'val'
   ELSE 'test' END AS train_val_test_flag
@@ -170,8 +170,8 @@ LEFT JOIN holiday_weeks h ON h.week_start = f.week_start"""
 
 @q("feature_matrix", FEATURES_SQL)
 def _(b):
-    rounded = ["roll_mean_4w", "roll_std_4w", "cv_rolling", "avg_price_week"]
-    return features(b).withColumns({c: r4(c) for c in rounded} | {"zero_demand_ratio": r8("zero_demand_ratio")})
+    rounded = ["roll_mean_4w", "roll_std_4w", "cv_rolling"]
+    return features(b).withColumns({c: r4(c) for c in rounded} | {c: r8(c) for c in ("zero_demand_ratio", "avg_price_week")})
 
 
 @q(

@@ -18,9 +18,6 @@ PLACE_CODES = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4, "
 # Item codes of the event types in the daily series.
 EVENT_CODES = {"click": 0, "error": 1, "purchase": 2, "signup": 3, "view": 4}
 
-# Share of the list price left after fees; turns extended prices into net unit prices.
-NET_PRICE_SHARE = 0.97314159
-
 
 def coded(column: Column, codes: dict[str, int]) -> Column:
     out = None
@@ -95,8 +92,8 @@ class Bound:
             )
         )
 
-    def _net_price(self) -> Column:
-        return F.col("l_extendedprice") / F.col("l_quantity") * F.lit(NET_PRICE_SHARE)
+    def _unit_price(self) -> Column:
+        return F.col("l_extendedprice") / F.col("l_quantity")
 
     @cached_property
     def lines_raw(self) -> DataFrame:
@@ -114,8 +111,8 @@ class Bound:
             .when((order + part) % 13 == 0, -F.col("l_quantity"))
             .otherwise(F.col("l_quantity"))
             .alias("quantity"),
-            F.when(order % 41 != 0, self._net_price()).alias("price"),
-            (self._net_price() * 0.6).alias("cost"),
+            F.when(order % 41 != 0, self._unit_price()).alias("price"),
+            (self._unit_price() * 0.6).alias("cost"),
             (F.col("l_extendedprice") * F.col("l_tax")).alias("commission_amount"),
             F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice") * F.col("l_discount")).alias("discount_amount"),
             F.when(part % 3 == 0, F.concat(F.lit("["), part.cast("string"), F.lit("]"))).alias("add_on_ids"),
@@ -129,8 +126,8 @@ class Bound:
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey").alias("item_id"),
             F.col("l_quantity").alias("quantity"),
-            self._net_price().alias("price"),
-            (self._net_price() * 0.6).alias("cost"),
+            self._unit_price().alias("price"),
+            (self._unit_price() * 0.6).alias("cost"),
             F.col("l_shipdate").cast("timestamp").alias("created"),
         )
 
