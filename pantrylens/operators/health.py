@@ -23,10 +23,13 @@ def stock_snapshot(skus: DataFrame) -> DataFrame:
 
 
 def demand_summary(demand: DataFrame) -> DataFrame:
-    """Total, number of days and average per day of each item, of rows ``(item_id, date, demand)``."""
-    return demand.groupBy("item_id").agg(
-        F.sum("demand").alias("total_demand"), F.count("*").alias("days"), F.avg("demand").alias("avg_daily_demand")
-    )
+    """Total, calendar days and average per day of each item, of rows ``(item_id, date, demand)``.
+
+    Days from the first to the last row count, so those without demand need no rows.
+    """
+    days = (F.datediff(F.max("date"), F.min("date")) + 1).cast("bigint")
+    totals = demand.groupBy("item_id").agg(F.sum("demand").alias("total_demand"), days.alias("days"))
+    return totals.withColumn("avg_daily_demand", F.col("total_demand") / F.col("days"))
 
 
 def demand_trend(demand: DataFrame) -> DataFrame:

@@ -57,12 +57,12 @@ def prep_unit(quantity: Column) -> Column:
 
 def discount_of(risk: Column, days: Column) -> Column:
     """Discount in percent by risk and days to expiry (unknown: 30)."""
-    days = F.coalesce(days, F.lit(30)).cast("int")
+    days = F.coalesce(days, F.lit(30)).cast("bigint")
     held = lambda low, high, value: F.least(F.lit(high), F.greatest(F.lit(low), value))
     return (
         F.when(risk == "Critical", held(30, 50, 50 - days * 2))
         .when(risk == "High Risk", held(15, 30, 30 - days))
-        .when(risk == "Low Risk", held(5, 15, 15 - F.floor(days / 2).cast("int")))
+        .when(risk == "Low Risk", held(5, 15, 15 - F.floor(days / 2)))
         .otherwise(0)
     )
 
