@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantrylens.llm import context_mixing, line_rules, lsh_forest, packing, quadratic, sampled_pieces, suffix_dedup, token_counts, voronoi_knn, warc
+from pantrylens.llm import context_mixing, line_rules, lsh_forest, packing, periodic_runs, quadratic, sampled_pieces, suffix_dedup, token_counts, voronoi_knn, warc
 from pantrylens.llm.shared import remainder, saved, scratch_path
 from pantrylens.session import pin_utc
 
@@ -74,7 +74,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_context_mixing, op2_suffix_dedup, op3_sampled_pieces, op4_warc, op5_lsh_forest, op6_line_rules, op7_packing, op8_quadratic, op9_voronoi_knn, op10_token_counts)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_run(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    best = periodic_runs.most_repeated(F.col("runs"))
+    line = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_context_mixing, op2_suffix_dedup, op3_sampled_pieces, op4_warc, op5_lsh_forest, op6_line_rules, op7_packing, op8_quadratic, op9_voronoi_knn, op10_token_counts, op13_periodic_runs)}
 
 # DuckDB has no CRC-32 function and no RE2-free word split cheaper than this one; only these are expressible.
 ORACLES = {
