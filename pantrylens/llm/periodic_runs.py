@@ -310,10 +310,12 @@ def with_planted_run(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     1 + (n - a) // (3 + g % 8) of them. Rows with a null id or without words stay as they are.
     """
     h = F.crc32(F.col(id_col).cast("string").cast("binary"))
-    g = F.floor(h / 10)
     words = F.filter(F.split(F.col(text_col), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    a = (g % F.size(words)).cast("int")
-    p = (1 + F.floor((F.size(words) - a) / (3 + g % 8))).cast("int")
-    planted = F.transform(words, lambda x, i: F.when(i < a, x).otherwise(F.get(words, a + (i - a) % p)))
-    chosen = (h % 10 == 0) & (F.size(words) > 0)
-    return docs.withColumn(text_col, F.when(chosen, F.array_join(planted, " ")).otherwise(F.col(text_col)))
+    # one step a column, so that none is worked out again for each word
+    split = docs.withColumns({"run_words": F.when(h % 10 == 0, words), "run_g": F.floor(h / 10)})
+    started = split.withColumn("run_a", (F.col("run_g") % F.nullif(F.size("run_words"), F.lit(0))).cast("int"))
+    a = F.col("run_a")
+    placed = started.withColumn("run_p", (1 + F.floor((F.size("run_words") - a) / (3 + F.col("run_g") % 8))).cast("int"))
+    planted = F.transform("run_words", lambda x, i: F.when(i < a, x).otherwise(F.get(F.col("run_words"), a + (i - a) % F.col("run_p"))))
+    chosen = F.size("run_words") > 0
+    return placed.select(*[F.when(chosen, F.array_join(planted, " ")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])

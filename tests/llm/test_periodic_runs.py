@@ -6,7 +6,6 @@ import re
 import zlib
 from collections import Counter
 
-from pyspark.sql import functions as F
 
 from pantrylens.llm import periodic_runs, queries
 
@@ -121,7 +120,12 @@ def test_query(spark, sf_dir):
     assert sum(w[1] > 0 for w in want) > 10
 
 
-def test_planted_runs_leave_nulls_alone(spark, docs):
-    same = periodic_runs.with_planted_run(docs).where(F.col("doc_id").isNull() | F.col("text").isNull())
-    assert same.where("doc_id is null and text is null").count() == 0
-    assert same.where("text is null").count() == docs.where("text is null").count()
+def test_planted_runs_leave_nulls_alone(spark):
+    """Ids of every remainder, with null, empty and blank texts."""
+    rows = [(i, t) for i in [None, *range(200)] for t in (None, "", " \n ", "a b c d e f g h i j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = periodic_runs.with_planted_run(df).collect()
+    assert [(r.doc_id, r.text) for r in out if not (r.text or "").strip()] == [(i, t) for i, t in rows if not (t or "").strip()]
+    assert all(r.text == "a b c d e f g h i j" for r in out if r.doc_id is None and (r.text or "").strip())
+    for r in out:
+        assert r.doc_id is None or plain_digest(r.doc_id, "a b c d e f g h i j")[1] == len(plain_runs((r.text or "").split())) or not (r.text or "").strip()
