@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pantrylens.llm import context_mixing, line_rules, lsh_forest, packing, periodic_runs, quadratic, sampled_pieces, suffix_dedup, token_counts, voronoi_knn, warc
+from pantrylens.llm import (
+    context_mixing,
+    gray_index,
+    line_rules,
+    lsh_forest,
+    packing,
+    periodic_runs,
+    quadratic,
+    sampled_pieces,
+    spelling_variants,
+    suffix_dedup,
+    token_counts,
+    voronoi_knn,
+    warc,
+)
 from pantrylens.llm.shared import remainder, saved, scratch_path
 from pantrylens.session import pin_utc
 
@@ -74,6 +88,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gray_index.near_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.with_planted_run(table(spark, sf_dir, "documents").select("doc_id", "text"))
     best = periodic_runs.most_repeated(F.col("runs"))
@@ -91,7 +114,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_context_mixing, op2_suffix_dedup, op3_sampled_pieces, op4_warc, op5_lsh_forest, op6_line_rules, op7_packing, op8_quadratic, op9_voronoi_knn, op10_token_counts, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_context_mixing, op2_suffix_dedup, op3_sampled_pieces, op4_warc, op5_lsh_forest, op6_line_rules, op7_packing, op8_quadratic, op9_voronoi_knn, op10_token_counts, op11_spelling_variants, op12_gray_index, op13_periodic_runs)}
 
 # DuckDB has no CRC-32 function and no RE2-free word split cheaper than this one; only these are expressible.
 ORACLES = {
