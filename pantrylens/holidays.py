@@ -81,8 +81,8 @@ def feature_holidays(spark: SparkSession) -> DataFrame:
     return rows.withColumn("date", F.to_date("date"))
 
 
-def fixed_date_holidays(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
-    """The fixed-date holidays of every year in a range."""
+def fixed_date_holidays(spark: SparkSession, dates: DataFrame, date: str) -> DataFrame:
+    """The fixed-date holidays of every year that ``dates`` have, and of the year after."""
     days = spark.createDataFrame(FIXED_DATE_HOLIDAYS, "m int, d int, name string, impact double")
-    years = F.sequence(F.lit(first_year), F.lit(last_year))
+    years = F.sequence(dates.agg(F.year(F.min(date))).scalar(), dates.agg(F.year(F.max(date)) + 1).scalar())
     return days.withColumn("y", F.explode(years)).select(F.make_date("y", "m", "d").alias("date"), "name", "impact")

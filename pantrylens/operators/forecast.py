@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pantrylens.functions.series import array_mean, demand_intervals, demand_sizes, exponential_smooth, ordered_values
+from pantrylens.functions.series import array_mean, demand_intervals, demand_sizes, exponential_smooth, ordered_values, square_sum
+from pantrylens.operators.holt_winters import holt_winters_steps, with_holt_winters
 
 # Windows, least numbers of points, smoothing factors.
 DAILY_WINDOW, WEEKLY_WINDOW = 7, 4
@@ -34,8 +35,7 @@ def tail(values: Column, k: int) -> Column:
 
 def spread(values: Column) -> Column:
     """Population standard deviation."""
-    mean = array_mean(values)
-    return F.sqrt(array_mean(F.transform(values, lambda x: (x - mean) * (x - mean))))
+    return F.when(F.size(values) > 0, F.sqrt(square_sum(values) / F.size(values)))
 
 
 def median(values: Column) -> Column:
@@ -83,6 +83,24 @@ def steps_ahead(df: DataFrame, keys: Sequence[str], horizon: int, days: int, tim
     )
 
 
+def constant_steps(band_column: str, horizon: int) -> Column:
+    """Array of (step, forecast, lower, upper) that repeats one band."""
+    bands = [F.col(band_column)[c].alias(c) for c in ("forecast", "lower", "upper")]
+    return F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda step: F.struct(step.alias("step"), *bands))
+
+
+def daily_forecasts(series: DataFrame, keys: Sequence[str], horizon: int = 7) -> DataFrame:
+    """(keys, date, forecast, lower, upper, method) of the next days, each series by the model its length allows."""
+    routed = with_daily_bands(with_holt_winters(series)).withColumn("method", daily_method())
+    steps = (
+        F.when(F.col("method") == "holt_winters", holt_winters_steps(horizon))
+        .when(F.col("method") == "moving_average", constant_steps("moving", horizon))
+        .otherwise(constant_steps("insufficient", horizon))
+    )
+    rows = routed.select(*keys, "last", "method", F.inline(steps))
+    return rows.select(*keys, F.date_add("last", F.col("step")).alias("date"), "forecast", "lower", "upper", "method")
+
+
 def with_weekly_bands(series: DataFrame) -> DataFrame:
     """Adds ``croston`` and ``moving``; forecasts are whole (half to even), bounds are cut."""
     y = F.col("y")
@@ -109,6 +127,18 @@ def with_weekly_bands(series: DataFrame) -> DataFrame:
     )
 
 
+def last_weeks(lines: DataFrame, keys: Sequence[str], time: str = "created") -> DataFrame:
+    """Weeks with sales and the last of them for every key."""
+    sold = lines.select(*keys, F.to_date(F.date_trunc("week", time)).alias("week_start")).distinct()
+    return sold.groupBy(*keys).agg(F.count("*").alias("weeks"), F.max("week_start").alias("last"))
+
+
+def insufficient_weekly(series: DataFrame, keys: Sequence[str], horizon: int = 4) -> DataFrame:
+    """Forecasts of series (``last``) too short for any model: 0, up to 5, at a confidence of one half."""
+    fixed = {"forecast": 0.0, "lower": 0.0, "upper": 5.0, "confidence": 0.5}
+    return steps_ahead(series.withColumns({c: F.lit(v) for c, v in fixed.items()}), keys, horizon, 7, "week_start", *fixed)
+
+
 def with_tuned_bands(series: DataFrame) -> DataFrame:
     """Adds ``smooth``, ``erratic``, ``croston_sba``, ``tsb`` and ``weighted``, unrounded."""
     y = F.col("y")

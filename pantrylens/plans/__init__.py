@@ -12,6 +12,7 @@ GROUPS = [
     "features",
     "classify",
     "forecast",
+    "models",
     "context",
     "health",
     "recommend",

@@ -15,7 +15,8 @@ PAST4 = W + " ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)"
 PAST = W + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 HOLIDAY_CTE = {
-    "fixed_holidays": "SELECT make_date(y::BIGINT, m, d) AS date, name, impact FROM range(1995, 2003) t(y), (VALUES "
+    "fixed_holidays": """SELECT make_date(y::BIGINT, m, d) AS date, name, impact FROM (SELECT unnest(range(a, z + 2)) AS y FROM (
+  SELECT year(min(o_orderdate)) AS a, year(max(o_orderdate)) AS z FROM orders)), (VALUES """
     + ", ".join(f"({m}, {d}, '{n}', {i}::DOUBLE)" for m, d, n, i in FIXED_DATE_HOLIDAYS)
     + ") h(m, d, name, impact)",
     "feat": f"""
@@ -41,7 +42,7 @@ def series(b):
 
 
 def holidays(b):
-    return fixed_date_holidays(b.spark, 1995, 2002)
+    return fixed_date_holidays(b.spark, b.raw("orders"), "o_orderdate")
 
 
 def q(name, sql):

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from pantrylens.functions.series import exponential_smooth
 from pantrylens.functions.stats import r4
-from pantrylens.operators import classify, demand as d, forecast as f
+from pantrylens.operators import classify, demand as d, forecast as f, holt_winters as hw
 from pantrylens.plans.demand import weekly
 from pantrylens.plans.registry import query
+from pantrylens.plans.smoothing_sql import holt_winters_ctes
 
 PAIR = ["place_id", "item_id"]
 
@@ -62,6 +63,12 @@ SELECT place_id, item_id, last,
     f_weighted + greatest(4 * std, 0.5 * f_weighted)] END AS weighted FROM tuned_values""",
 }
 
+CTES |= holt_winters_ctes("hw", "day_lists")
+CTES["sparse_lists"] = """
+SELECT item_id, list(demand ORDER BY date) AS y, max(date) AS last, count(*) AS n FROM (
+  SELECT l_partkey * 1000 + l_suppkey % 1000 AS item_id, l_shipdate::DATE AS date, sum(l_quantity)::DOUBLE AS demand FROM lineitem GROUP BY 1, 2) GROUP BY 1"""
+CTES["sparse_bands"] = CTES["day_bands"].replace("day_lists", "sparse_lists")
+
 
 def q(name, sql):
     return query(name, sql, CTES)
@@ -93,19 +100,62 @@ def _(b):
     return daily_series(b).select("item_id", F.col("n").cast("bigint").alias("n"), f.daily_method().alias("method"))
 
 
+MOVING_SQL = _ahead(
+    "(SELECT * FROM day_bands WHERE n BETWEEN 3 AND 13)", "item_id", "date", 1, 7,
+    "mean_recent", "greatest(mean_recent - width, 0)", "mean_recent + width",
+)
+INSUFFICIENT_SQL = _ahead(
+    "(SELECT * FROM day_bands WHERE n < 3)", "item_id", "date", 1, 7, "mean", "greatest(mean - doubt, 0)", "mean + doubt"
+)
+FITTED_SQL = "SELECT item_id, date, round(forecast, 4) AS forecast, round(lower, 4) AS lower, round(upper, 4) AS upper FROM hw_steps"
+
+
+def rounded_bands(df):
+    return df.withColumns({c: r4(c) for c in ("forecast", "lower", "upper")})
+
+
+def daily_by(b, method):
+    """Forecasts of the series that go to one method."""
+    routed = daily_series(b).where(f.daily_method() == method)
+    return rounded_bands(f.daily_forecasts(routed, ["item_id"])).drop("method")
+
+
+@q("holt_winters_daily", FITTED_SQL)
+def _(b):
+    return daily_by(b, "holt_winters")
+
+
+@q("moving_average_daily", MOVING_SQL)
+def _(b):
+    return daily_by(b, "moving_average")
+
+
+@q("insufficient_daily", INSUFFICIENT_SQL.replace("day_bands", "sparse_bands"))
+def _(b):
+    """Of parts by supplier, most of which were sold on one or two days."""
+    sold = b.supplier_lines.select((F.col("item_id") * 1000 + F.col("place_id") % 1000).alias("item_id"), F.to_date("created").alias("date"), "quantity")
+    daily = sold.groupBy("item_id", "date").agg(F.sum("quantity").alias("demand"))
+    routed = f.as_series(daily, ["item_id"], "date", "demand").where(f.daily_method() == "insufficient_data")
+    return rounded_bands(f.daily_forecasts(routed, ["item_id"])).drop("method")
+
+
 @q(
-    "moving_average_daily",
-    _ahead("day_bands", "item_id", "date", 1, 7, "mean_recent", "greatest(mean_recent - width, 0)", "mean_recent + width"),
+    "forecast_long",
+    f"""SELECT *, 'holt_winters' AS method FROM ({FITTED_SQL}) UNION ALL SELECT *, 'moving_average' FROM ({MOVING_SQL})
+UNION ALL SELECT *, 'insufficient_data' FROM ({INSUFFICIENT_SQL})""",
 )
 def _(b):
-    bands = f.with_daily_bands(daily_series(b)).select("item_id", "last", *band_columns("moving"))
-    return f.steps_ahead(bands, ["item_id"], 7, 1, "date", "forecast", "lower", "upper")
+    return rounded_bands(f.daily_forecasts(daily_series(b), ["item_id"]))
 
 
-@q("insufficient_daily", _ahead("day_bands", "item_id", "date", 1, 7, "mean", "greatest(mean - doubt, 0)", "mean + doubt"))
+@q(
+    "fit_mape",
+    """SELECT item_id, n, CASE WHEN sold > 0 THEN least(round(100 * share / sold, 4), 100) ELSE 100 END AS mape, round(spread, 4) AS spread
+FROM hw_fit""",
+)
 def _(b):
-    bands = f.with_daily_bands(daily_series(b)).select("item_id", "last", *band_columns("insufficient"))
-    return f.steps_ahead(bands, ["item_id"], 7, 1, "date", "forecast", "lower", "upper")
+    fitted = hw.with_holt_winters(daily_series(b).where(f.daily_method() == "holt_winters"))
+    return fitted.select("item_id", F.col("n").cast("bigint").alias("n"), r4(hw.fit_mape()).alias("mape"), r4(hw.residual_spread()).alias("spread"))
 
 
 @q("exp_smoothing", f"SELECT place_id, item_id, round({_smoothed('y', 0.1)}, 4) AS level FROM week_lists")

@@ -32,7 +32,8 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     visit(body)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({library[n].strip()})" for n in ordered) + "\n" + body.strip()
+    recursive = any(re.search(rf"\b{n}\b", library[n]) for n in ordered)
+    return "WITH " + "RECURSIVE " * recursive + ",\n".join(f"{n} AS ({library[n].strip()})" for n in ordered) + "\n" + body.strip()
 
 
 def query(name: str, sql: str | None = None, ctes: dict[str, str] | None = None):

@@ -131,6 +131,17 @@ class Bound:
             F.col("l_shipdate").cast("timestamp").alias("created"),
         )
 
+    @cached_property
+    def supplier_lines(self) -> DataFrame:
+        """Lines by supplier and part: very many pairs of few weeks, which grow with the tables."""
+        return self.raw("lineitem").select(
+            F.col("l_suppkey").alias("place_id"),
+            F.col("l_partkey").alias("item_id"),
+            F.col("l_quantity").alias("quantity"),
+            self._unit_price().alias("price"),
+            F.col("l_shipdate").cast("timestamp").alias("created"),
+        )
+
     @property
     def brand_code(self) -> Column:
         return F.regexp_extract("p_brand", r"(\d+)", 1).cast("bigint")
@@ -239,3 +250,79 @@ class Bound:
             )
             .agg(F.sum(F.ceil("value").cast("double")).alias("demand"))
         )
+
+    # ---- context -------------------------------------------------------------------------
+
+    @cached_property
+    def visits(self) -> DataFrame:
+        """Places (one a user) and the days they are looked at."""
+        return self.raw("events").select(F.col("user_id").alias("place_id"), F.to_date("ts").alias("date")).distinct()
+
+    @cached_property
+    def context_events(self) -> DataFrame:
+        """An event per user and type, on the day of its largest value: local ones at two places, some everywhere."""
+        best = F.max(F.struct("value", (-F.col("event_id")).alias("order"), F.to_date("ts").alias("day"))).alias("b")
+        user, event = F.col("user_id"), -F.col("b.order")
+        places = F.when(user % 50 != 0, F.array(user, user + 1))
+        return (
+            self.raw("events")
+            .groupBy("user_id", "event_type")
+            .agg(best)
+            .select(
+                F.concat_ws(" ", "event_type", user.cast("string")).alias("name"),
+                "event_type",
+                F.col("b.day").alias("start_date"),
+                F.when(event % 5 != 0, F.date_add("b.day", (event % 5).cast("int"))).alias("end_date"),
+                (0.5 + (user % 11) / F.lit(10.0)).alias("impact_factor"),
+                places.alias("place_ids"),
+            )
+        )
+
+    @cached_property
+    def dated_events(self) -> DataFrame:
+        """Events of single days: types that are worth more on a day than on their average day."""
+        totals = (
+            self.raw("events")
+            .groupBy(F.to_date("ts").alias("date"), F.col("event_type").alias("name"))
+            .agg(F.sum(F.ceil("value")).alias("total"))
+        )
+        usual = totals.groupBy("name").agg(F.avg("total").alias("usual"))
+        kind = (
+            F.when(F.col("name") == "purchase", "holiday")
+            .when(F.col("name") == "signup", "local_event")
+            .when(F.col("name") == "error", "slow_day")
+            .otherwise("promotion")
+        )
+        return (
+            totals.join(usual, "name")
+            .where(F.col("total") > F.col("usual"))
+            .select(
+                "date",
+                "name",
+                kind.alias("event_type"),
+                F.when(F.col("name") == "error", F.lit(0.9)).alias("impact_factor"),
+                F.when(F.col("name") == "view", F.array(F.lit("beverages_cold"), F.lit("salad"))).alias("affected_categories"),
+            )
+        )
+
+    @cached_property
+    def weather(self) -> DataFrame:
+        """A weather and a temperature for every day, from the number of its events."""
+        kinds = ["sunny", "cloudy", "rainy", "stormy", "snow", "extreme_heat", "extreme_cold"]
+        return (
+            self.raw("events")
+            .groupBy(F.to_date("ts").alias("date"))
+            .agg(F.count("*").alias("k"))
+            .select(
+                "date",
+                F.get(F.array(*[F.lit(x) for x in kinds]), (F.col("k") % 7).cast("int")).alias("weather_type"),
+                (F.col("k") % 45 - 5).cast("double").alias("temperature"),
+            )
+        )
+
+    @cached_property
+    def item_categories(self) -> DataFrame:
+        """The weather-sensitive category of every item of the daily series; null for some."""
+        kinds = ["beverages_cold", "beverages_hot", "ice_cream", "soup", "salad"]
+        items = self.daily_events.select("item_id").distinct()
+        return items.withColumn("category", F.get(F.array(*[F.lit(x) for x in kinds]), (F.col("item_id") % 7).cast("int")))
