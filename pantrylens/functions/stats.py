@@ -104,10 +104,16 @@ def quantiles_wide(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     )
 
 
-def most_frequent(df: DataFrame, column: str) -> DataFrame:
-    """One row: the most frequent non-null value, the smallest on a tie."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).count()
-    return counts.agg(F.min_by("value", F.struct((-F.col("count")).alias("neg"), F.col("value"))).alias("value"))
+def most_frequent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row with one map: the most frequent non-null value of each text column, the smallest on a tie.
+
+    Values of all columns are counted together, in one pass and combined before the shuffle; a column without values
+    is missing in the map.
+    """
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])))
+    counts = cells.where("value is not null").groupBy("column", "value").count()
+    best = counts.groupBy("column").agg(F.min_by("value", F.struct((-F.col("count")).alias("neg"), F.col("value"))).alias("value"))
+    return best.agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("modes"))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

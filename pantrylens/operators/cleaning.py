@@ -90,8 +90,12 @@ def categorical_columns(df: DataFrame) -> list[str]:
 
 
 def fill_missing_mode(df: DataFrame) -> DataFrame:
-    fills = {c: most_frequent(df, c).select("value").scalar() for c in categorical_columns(df)}
-    return df.withColumns({c: F.coalesce(F.col(c), v, F.lit("Unknown")) for c, v in fills.items()})
+    """Nulls of categorical columns become the column's most frequent value; one pass for all columns."""
+    columns = categorical_columns(df)
+    if not columns:
+        return df
+    modes = most_frequent(df, columns).scalar()
+    return df.withColumns({c: F.coalesce(F.col(c), modes[c], F.lit("Unknown")) for c in columns})
 
 
 def fill_missing_text(df: DataFrame) -> DataFrame:

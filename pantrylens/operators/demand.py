@@ -246,8 +246,14 @@ def item_feature_aggregates(lines: DataFrame) -> DataFrame:
 
 
 def demand_pivot(demand: DataFrame, items: Sequence[int]) -> DataFrame:
-    """Period x item matrix for a stated item list; the long form is the one that scales."""
-    wide = demand.groupBy("period").pivot("item_id", list(items)).agg(F.avg("demand_quantity"))
+    """Period x item matrix for a stated item list; the long form is the one that scales.
+
+    Demand of an item that is not in the list is an error, not left out in silence; that of no item (null) is left out.
+    """
+    item = F.col("item_id")
+    unknown = F.raise_error(F.format_string("item %s is not among the columns of the matrix", item.cast("string")))
+    known = demand.where(item.isNotNull()).withColumn("item_id", F.when(item.isin(list(items)), item).otherwise(unknown.cast("bigint")))
+    wide = known.groupBy("period").pivot("item_id", list(items)).agg(F.avg("demand_quantity"))
     return wide.na.fill(0.0, [str(i) for i in items]).select(
         "period", *[F.col(str(i)).alias(f"item_{i}") for i in items]
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Weights of the four scores, and the least score of a low and of a medium risk.
@@ -22,31 +22,29 @@ def stock_snapshot(skus: DataFrame) -> DataFrame:
     return skus.select("id", "title", "unit", "quantity", "low_stock_threshold", status.alias("status"))
 
 
+def in_order() -> Column:
+    """Aggregate: the demand of an item by date; a forecast has few days an item."""
+    return F.transform(F.sort_array(F.collect_list(F.struct("date", "demand"))), lambda x: x["demand"])
+
+
 def demand_summary(demand: DataFrame) -> DataFrame:
-    """Total, calendar days and average per day of each item, of rows ``(item_id, date, demand)``.
+    """Total, calendar days and average per day of each item, of forecast rows ``(item_id, date, demand)``.
 
     Days from the first to the last row count, so those without demand need no rows.
     """
     days = (F.datediff(F.max("date"), F.min("date")) + 1).cast("bigint")
-    totals = demand.groupBy("item_id").agg(F.sum("demand").alias("total_demand"), days.alias("days"))
-    return totals.withColumn("avg_daily_demand", F.col("total_demand") / F.col("days"))
+    totals = demand.groupBy("item_id").agg(in_order().alias("v"), days.alias("days"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return totals.select("item_id", total.alias("total_demand"), "days").withColumn("avg_daily_demand", F.col("total_demand") / F.col("days"))
 
 
 def demand_trend(demand: DataFrame) -> DataFrame:
-    """Change in percent from the first three to the last three days; 0 with under six days or from 0."""
-    item = Window.partitionBy("item_id")
-    placed = demand.select(
-        "item_id",
-        "demand",
-        F.row_number().over(item.orderBy("date")).alias("at"),
-        F.count("*").over(item).alias("days"),
-    )
-    ends = placed.groupBy("item_id", "days").agg(
-        F.avg(F.when(F.col("at") <= 3, F.col("demand"))).alias("early"),
-        F.avg(F.when(F.col("at") > F.col("days") - 3, F.col("demand"))).alias("late"),
-    )
+    """Change in percent from the first three to the last three days of a forecast; 0 with under six days or from 0."""
+    ends = demand.groupBy("item_id").agg(in_order().alias("v"))
+    mean = lambda part: (F.get(part, F.lit(0)) + F.get(part, F.lit(1)) + F.get(part, F.lit(2))) / 3
+    known = ends.withColumns({"early": mean(F.slice("v", 1, 3)), "late": mean(F.slice("v", -3, 3))})
     change = 100 * (F.col("late") - F.col("early")) / F.col("early")
-    return ends.select("item_id", F.when((F.col("days") >= 6) & (F.col("early") != 0), change).otherwise(0.0).alias("trend_pct"))
+    return known.select("item_id", F.when((F.size("v") >= 6) & (F.col("early") != 0), change).otherwise(0.0).alias("trend_pct"))
 
 
 def days_of_supply() -> Column:

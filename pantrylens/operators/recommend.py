@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 URGENCY = {"CRITICAL": 0, "HIGH": 1, "MEDIUM": 2, "LOW": 3}
 
 
-def _rule(met: Column, rule: str, action: Column, urgency: Column, quantity: Column, rate: float, discount: Column) -> Column:
+def _rule(met: Column, rule: str, action: Column, urgency: Column, quantity: Column, impact: Column, discount: Column) -> Column:
     row = F.struct(
         F.lit(rule).alias("rule"),
         action.alias("action"),
         urgency.alias("urgency"),
         F.bround(quantity).alias("quantity"),
-        (quantity * rate).alias("impact"),
+        impact.alias("impact"),
         discount.alias("discount"),
     )
     return F.when(met, row)
@@ -31,14 +31,14 @@ def rules() -> list[Column]:
     return [
         _rule(
             (supply < 3) & (want > 0), "reorder", text("reorder"),
-            F.when(supply < 1, "CRITICAL").otherwise("HIGH"), want, 10, none,
+            F.when(supply < 1, "CRITICAL").otherwise("HIGH"), want, want * 10, none,
         ),
-        _rule((supply > 21) & (excess > 0), "reduce", text("reduce_order"), text("MEDIUM"), excess, 5, none),
-        _rule((expiry <= 3) & (stock > 0), "expiry", text("prioritize_sales"), text("CRITICAL"), stock, 8, F.lit(0.4)),
-        _rule((expiry > 3) & (expiry <= 7) & (stock > 0), "expiry", text("discount"), text("HIGH"), stock, 5, F.lit(0.2)),
-        _rule((F.col("trend_score") == 10) & (daily < 1), "trend", text("remove"), text("MEDIUM"), none, 0, none),
-        _rule(trend > 20, "trend", text("increase_order"), text("MEDIUM"), daily, 5, F.least(trend / 2, F.lit(30.0)) / 100),
-        _rule(slow & (supply > 14) & (stock > 0), "bundle", text("bundle"), text("MEDIUM"), stock, 3, none),
+        _rule((supply > 21) & (excess > 0), "reduce", text("reduce_order"), text("MEDIUM"), excess, excess * 5, none),
+        _rule((expiry <= 3) & (stock > 0), "expiry", text("prioritize_sales"), text("CRITICAL"), stock, stock * 8, F.lit(0.4)),
+        _rule((expiry > 3) & (expiry <= 7) & (stock > 0), "expiry", text("discount"), text("HIGH"), stock, stock * 5, F.lit(0.2)),
+        _rule((F.col("trend_score") == 10) & (daily < 1), "trend", text("remove"), text("MEDIUM"), none, F.lit(0.0), none),
+        _rule(trend > 20, "trend", text("increase_order"), text("MEDIUM"), none, daily * 5, F.least(trend / 2, F.lit(30.0)) / 100),
+        _rule(slow & (supply > 14) & (stock > 0), "bundle", text("bundle"), text("MEDIUM"), stock, stock * 3, none),
     ]
 
 

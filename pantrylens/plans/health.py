@@ -1,21 +1,30 @@
-"""Stock and health queries. Demand is that of each stocked part per day, as ordered."""
+"""Stock and health queries. Demand is the forecast of each stocked part for the next seven days."""
 
 from pyspark.sql import functions as F
 
 from pantrylens.functions.stats import r4
-from pantrylens.operators import demand as d, health as h
+from pantrylens.operators import demand as d, forecast as f, health as h
+from pantrylens.plans.forecast import CTES as FORECAST_CTES, MOVING_SQL, INSUFFICIENT_SQL
 from pantrylens.plans.registry import query
+from pantrylens.plans.smoothing_sql import holt_winters_ctes
 
 CTES = {
+    **FORECAST_CTES,
+    **holt_winters_ctes("parts", "part_lists"),
+    "part_lists": "SELECT item_id, list(demand_quantity ORDER BY period) AS y, max(period) AS last, count(*) AS n FROM daily_item GROUP BY 1",
+    "part_bands": FORECAST_CTES["day_bands"].replace("day_lists", "part_lists"),
+    "part_forecast": f"""
+SELECT item_id, date, round(forecast, 4) AS q FROM parts_steps
+UNION ALL SELECT item_id, date, forecast FROM ({MOVING_SQL.replace("day_bands", "part_bands")})
+UNION ALL SELECT item_id, date, forecast FROM ({INSUFFICIENT_SQL.replace("day_bands", "part_bands")})""",
     "item_summary": """
-SELECT item_id, sum(demand_quantity) AS total_demand, date_diff('day', min(period), max(period)) + 1 AS days,
-  sum(demand_quantity) / (date_diff('day', min(period), max(period)) + 1) AS avg_daily_demand
-FROM daily_item GROUP BY 1""",
+SELECT item_id, list_reduce(list(q ORDER BY date), lambda a, x: a + x) AS total_demand, date_diff('day', min(date), max(date)) + 1 AS days,
+  total_demand / (date_diff('day', min(date), max(date)) + 1) AS avg_daily_demand
+FROM part_forecast GROUP BY 1""",
     "item_trend": """
-SELECT item_id, CASE WHEN count(*) >= 6 AND avg(q) FILTER (a <= 3) <> 0
-  THEN 100 * (avg(q) FILTER (z <= 3) - avg(q) FILTER (a <= 3)) / avg(q) FILTER (a <= 3) ELSE 0 END AS trend_pct
-FROM (SELECT item_id, demand_quantity AS q, row_number() OVER (PARTITION BY item_id ORDER BY period) AS a,
-  row_number() OVER (PARTITION BY item_id ORDER BY period DESC) AS z FROM daily_item) GROUP BY 1""",
+SELECT item_id, CASE WHEN len(v) >= 6 AND (v[1] + v[2] + v[3]) / 3 <> 0
+  THEN 100 * ((v[-3] + v[-2] + v[-1]) / 3 - (v[1] + v[2] + v[3]) / 3) / ((v[1] + v[2] + v[3]) / 3) ELSE 0 END AS trend_pct
+FROM (SELECT item_id, list(q ORDER BY date) AS v FROM part_forecast GROUP BY 1)""",
     "scored": """
 SELECT *, CASE WHEN supply IS NULL THEN CASE WHEN current_stock > 0 THEN 50 ELSE 100 END WHEN current_stock <= 0 THEN 0
     WHEN supply < 3 THEN 20 WHEN supply < 5 THEN 50 WHEN supply < 7 THEN 80 WHEN supply <= 14 THEN 100
@@ -46,8 +55,10 @@ def q(name, sql):
 
 
 def item_demand(b):
+    """The forecast of every part: what it will need, not what it once sold."""
     daily = d.demand_per_item(b.lines, b.orders)
-    return daily.select("item_id", F.col("period").alias("date"), F.col("demand_quantity").alias("demand"))
+    series = f.as_series(daily, ["item_id"], "period", "demand_quantity")
+    return f.daily_forecasts(series, ["item_id"]).select("item_id", "date", r4("forecast").alias("demand"))
 
 
 def scores(b):
@@ -68,9 +79,9 @@ def _(b):
     return h.stock_snapshot(b.skus)
 
 
-@q("demand_summary", "SELECT item_id, total_demand, days, round(avg_daily_demand, 4) AS avg_daily_demand FROM item_summary")
+@q("demand_summary", "SELECT item_id, round(total_demand, 4) AS total_demand, days, round(avg_daily_demand, 4) AS avg_daily_demand FROM item_summary")
 def _(b):
-    return h.demand_summary(item_demand(b)).withColumn("avg_daily_demand", r4("avg_daily_demand"))
+    return h.demand_summary(item_demand(b)).withColumns({c: r4(c) for c in ("total_demand", "avg_daily_demand")})
 
 
 @q("demand_trend", "SELECT item_id, round(trend_pct, 4) AS trend_pct FROM item_trend")
@@ -103,8 +114,8 @@ def _(b):
 
 @q(
     "bom_demand",
-    """SELECT sku_id, sum(total_demand * quantity) AS component_demand, count(*) AS parents
+    """SELECT sku_id, round(sum(total_demand * quantity), 2) AS component_demand, count(*) AS parents
 FROM dim_bom JOIN item_summary ON item_id = parent_sku_id GROUP BY 1""",
 )
 def _(b):
-    return h.component_demand(item_demand(b), b.bom)
+    return h.component_demand(item_demand(b), b.bom).withColumn("component_demand", F.round("component_demand", 2))

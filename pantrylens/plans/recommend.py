@@ -18,12 +18,12 @@ FROM health_rows WHERE supply < 3 AND 10 * daily > current_stock""",
   CASE WHEN days_to_expiry <= 3 THEN 8 ELSE 5 END AS rate, CASE WHEN days_to_expiry <= 3 THEN 0.4::DOUBLE ELSE 0.2::DOUBLE END AS discount
 FROM health_rows WHERE days_to_expiry <= 7 AND current_stock > 0""",
     "trend": """SELECT item_id, 'trend' AS rule, CASE WHEN trend > 20 THEN 'increase_order' ELSE 'remove' END AS action, 'MEDIUM' AS urgency,
-  CASE WHEN trend > 20 THEN daily END AS amount, 5 AS rate, CASE WHEN trend > 20 THEN least(trend / 2, 30) / 100 END AS discount
+  CASE WHEN trend > 20 THEN daily ELSE 0 END AS amount, 5 AS rate, CASE WHEN trend > 20 THEN least(trend / 2, 30) / 100 END AS discount
 FROM health_rows WHERE trend > 20 OR (trend_score = 10 AND daily < 1)""",
     "bundle": """SELECT item_id, 'bundle' AS rule, 'bundle' AS action, 'MEDIUM' AS urgency, current_stock AS amount, 3 AS rate, NULL::DOUBLE AS discount
 FROM health_rows WHERE turnover_score = 10 AND supply > 14 AND current_stock > 0""",
 }
-SHOWN = """item_id, rule, action, urgency, round_even(amount, 0) AS quantity, round(amount * rate, 4) AS impact, round(discount, 4) AS discount"""
+SHOWN = """item_id, rule, action, urgency, CASE WHEN rule <> 'trend' THEN round_even(amount, 0) END AS quantity, round(amount * rate, 4) AS impact, round(discount, 4) AS discount"""
 CTES = {
     **HEALTH_CTES,
     "all_rules": " UNION ALL ".join(RULES.values()),
