@@ -28,7 +28,7 @@ from pantrylens.llm.shared import mixed, powers, text_bytes
 
 SPACE, MARK_CODE, LITERAL_MARK = 0x20, ord(MARK), 0x110000
 #: Characters that one numpy step works on; a longer text is a step of its own.
-STEP_CHARS = 3_000_000
+STEP_CHARS = 1_000_000
 
 
 def code_hash_sums(codes: np.ndarray) -> np.ndarray:
@@ -153,9 +153,11 @@ class Sampler:
             left[inner] = alpha[inner]
         share = np.exp(left[start] + weight - alpha[stop])
         heads = np.flatnonzero(np.r_[True, stop[1:] != stop[:-1]]) if len(stop) else np.zeros(0, int)
-        running = np.cumsum(share)
-        group = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(stop)])) if len(heads) else heads
-        within = running - (running[heads] - share[heads])[group] if len(heads) else running
+        # summed up end by end, so that no sum depends on what else is in the step
+        within, size = share.copy(), np.diff(np.r_[heads, len(stop)]) if len(heads) else heads
+        for k in range(1, int(size.max(initial=0))):
+            more = heads[size > k] + k
+            within[more] += within[more - 1]
         group_of = np.full(n + 1, -1, dtype=np.int64)
         group_of[stop[heads]] = np.arange(len(heads))
         last = np.r_[heads[1:], len(stop)] - 1 if len(heads) else heads
