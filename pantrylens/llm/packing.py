@@ -23,6 +23,8 @@ from pantrylens.llm.shared import saved
 
 #: Entries of a worker's word cache; a full cache is emptied.
 CACHE_WORDS = 500_000
+# Fixed value: how every special token of the vocabulary begins.
+SPECIAL = b"<|"
 #: Words that the tokenizer gets at once.
 BATCH_WORDS = 20_000
 
@@ -38,7 +40,6 @@ def word_tokenizer(path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         _tokenizers[path] = (tokenizer, kind, {})
     return _tokenizers[path]
@@ -48,7 +49,7 @@ def encode_words(path: str, words: set[bytes]) -> dict[bytes, bytes]:
     """The cache, with the ids of all ``words`` in it.
 
     Holds for tokenizers that drop white space and never join across it: a text's ids are then
-    those of its words.
+    those of its words. Special tokens in a text are told by their exact spelling, as the tokenizer does.
     """
     tokenizer, kind, cache = word_tokenizer(path)
     new = list(words - cache.keys())
@@ -62,6 +63,11 @@ def encode_words(path: str, words: set[bytes]) -> dict[bytes, bytes]:
     return cache
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """Words in lower case, unless the text may hold special tokens, which have a case."""
+    return (text if SPECIAL in text else text.lower()).split()
+
+
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``part``, ``at`` (ids before it in its partition), ``n_ids``, ``ids`` (little-endian)."""
     step_bytes = 1_000_000
@@ -73,7 +79,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
             size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0), dtype=np.int64)
             edges = np.flatnonzero(np.diff(np.cumsum(size) // step_bytes)) + 1
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(size)]):
-                split = [(t or "").encode().lower().split() for t in texts[lo:hi].to_pylist()]
+                split = [words_of((t or "").encode()) for t in texts[lo:hi].to_pylist()]
                 known = encode_words(tokenizer_path, set().union(*split))
                 kind = word_tokenizer(tokenizer_path)[1]
                 last = np.array([end_id], dtype=kind).tobytes()

@@ -85,13 +85,16 @@ def plain_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
+SPECIALS = ["a <|endoftext|> b", "A<|endoftext|>B <|ENDOFTEXT|> c<|startoftext|>", "<|Endoftext|> <| x |>"]
+
+
 @pytest.mark.parametrize("source", ["docs", "table"])
 def test_packing(source, spark, docs, sf_dir):
-    table = docs if source == "docs" else spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3)
+    special = spark.createDataFrame([(100 + k, t, "en", None, 7, "x") for k, t in enumerate(SPECIALS)], docs.schema)
+    table = docs.union(special) if source == "docs" else spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3)
     window = 64
     got = packing.pack(table, vocabulary_path("word_bpe_49k.json"), window=window).collect()
     texts = Counter()
