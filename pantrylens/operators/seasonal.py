@@ -2,7 +2,8 @@
 
 A value is taken as (level + slope * t) * (1 + season), t being the share of the series' span that has passed.
 The trend is that of least squares. The season is a ridge regression of value / trend - 1 on sines and cosines,
-from the normal equations of the series. Bands are the forecast and a quantile of the normal distribution times
+from the normal equations of the series. The two are fitted in turns, each to what the other leaves, so that a part
+of a year at an end is not taken for a trend. Bands are the forecast and a quantile of the normal distribution times
 the standard deviation of the errors.
 
 A series is one row with its dates and values (one shuffle, bounded by the calendar); the small linear systems are
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 # Quantiles of the normal distribution for bands of 80 and 95 percent.
 Z80, Z95 = 1.2815515655446004, 1.959963984540054
 YEAR, WEEK = 365.25, 7.0
+#: Turns of trend and season, and the least share of the trend that a season may leave.
+TURNS, LEAST_SHARE = 5, 0.1
 FIT = "level double, slope double, first int, span double, low double, year array<double>, week array<double>, spread double"
 
 
@@ -51,13 +54,15 @@ def fit_one(days: np.ndarray, y: np.ndarray, season: Season) -> tuple:
     first, span = int(days[0]), float(max(days[-1] - days[0], 1))
     t = (days - first) / span
     line = np.column_stack([np.ones(len(y)), t])
-    level, slope = np.linalg.lstsq(line, y, rcond=None)[0]
     low = 0.01 * y.mean()
-    trend = np.maximum(level + slope * t, low)
     terms = np.column_stack([angles(days, YEAR, season.year), angles(days, WEEK, season.week)])
-    ratio = np.divide(y, trend, out=np.ones_like(y), where=trend > 0) - 1
     normal = terms.T @ terms + season.ridge * np.eye(terms.shape[1])
-    weights = np.linalg.solve(normal, terms.T @ ratio)
+    weights = np.zeros(terms.shape[1])
+    for _ in range(TURNS):
+        level, slope = np.linalg.lstsq(line, y / np.maximum(1 + terms @ weights, LEAST_SHARE), rcond=None)[0]
+        trend = np.maximum(level + slope * t, low)
+        ratio = np.divide(y, trend, out=np.ones_like(y), where=trend > 0) - 1
+        weights = np.linalg.solve(normal, terms.T @ ratio)
     spread = float(np.std(y - trend * (1 + terms @ weights)))
     cut = 2 * season.year
     return float(level), float(slope), first, span, float(low), weights[:cut].tolist(), weights[cut:].tolist(), spread

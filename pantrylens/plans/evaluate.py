@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from pantrylens.functions.stats import r4
-from pantrylens.operators import boosting, evaluate as e, features as ft, seasonal as s
-from pantrylens.plans.demand import weekly_ai
+from pantrylens.operators import boosting, evaluate as e, seasonal as s
 from pantrylens.plans.forecast import CTES as FORECAST_CTES, PAIR, weekly_series
 from pantrylens.plans.models import complete, learned
 from pantrylens.plans.registry import query
@@ -108,7 +107,7 @@ def _(b):
 @query("rolling_backtest_models")
 def _(b):
     """The fitted models at the same origins. Trees learn from the weeks before the first origin, so from none they are tested on."""
-    rows, sold = complete(b).select(*PAIR, "week_start", "demand"), weekly_ai(b)
+    rows = complete(b).select(*PAIR, "week_start", "demand")
     end = rows.agg(F.max("week_start")).scalar()
     origins = F.explode(F.sequence(F.lit(1), F.lit(e.ORIGINS))).alias("origin")
     cut = F.date_sub(F.lit(end), 7 * e.HORIZON * F.col("origin"))
@@ -117,8 +116,7 @@ def _(b):
     fitted = s.with_season(before(rows), keys, "week_start", "demand", s.WEEKLY, least=e.LEAST)
     seasonal = s.seasonal_steps(fitted, keys, e.HORIZON, 7, "week_start", s.WEEKLY, s.Z80).select(*keys, "week_start", *e.BAND)
     model = learned(b, F.date_sub(F.lit(end), 7 * e.HORIZON * e.ORIGINS))
-    series = boosting.history(before(sold), keys).withColumn("last", F.date_sub(F.lit(end), 7 * e.HORIZON * F.col("origin")))
-    trees = boosting.boosted_steps(model, series, keys).where("method = 'boosted_trees'").drop("method")
+    trees = boosting.boosted_steps(model, boosting.history(before(rows), keys), keys).where("method = 'boosted_trees'").drop("method")
     told = seasonal.withColumn("method", F.lit("seasonal_trend")).unionByName(trees.withColumn("method", F.lit("boosted_trees")))
     kinds = e.prefixes(weekly_series(b), PAIR).select(*keys, e.series_class(F.col("y")).alias("demand_type"))
     actual = rows.withColumnRenamed("demand", "actual")

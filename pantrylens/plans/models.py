@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from pantrylens.functions.stats import r4
 from pantrylens.operators import boosting, classify, demand as d, features as ft, forecast as f, seasonal as s
-from pantrylens.plans.demand import weekly, weekly_ai
-from pantrylens.plans.forecast import PAIR, weekly_series
+from pantrylens.plans.demand import weekly
+from pantrylens.plans.forecast import PAIR
 from pantrylens.plans.registry import query
 
 BANDS = ["forecast", "lower", "upper"]
@@ -56,14 +56,14 @@ def _(b):
 
 
 def learned(b, until=None):
-    """Trees of all weeks, or of those up to a date."""
-    frame = ft.ml_lag_frame(weekly_ai(b))
+    """Trees of all weeks of the complete calendar, or of those up to a date."""
+    frame = ft.ml_lag_frame(complete(b))
     return boosting.learn(frame if until is None else frame.where(F.col("week_start") <= until))
 
 
 @query("ml_lag_forecast")
 def _(b):
-    return boosting.boosted_steps(learned(b), boosting.history(weekly_ai(b), PAIR), PAIR)
+    return boosting.boosted_steps(learned(b), boosting.history(complete(b), PAIR), PAIR)
 
 
 def routed(b, pairs=None):
@@ -90,7 +90,7 @@ def routed(b, pairs=None):
     none = of(series, "insufficient_data").groupBy(*PAIR).agg(F.max("week_start").alias("last"))
     branches = [
         seasonal_weekly(of(series, "seasonal_trend")),
-        boosting.boosted_steps(learned(b), boosting.history(of(weekly_ai(b), "boosted_trees"), PAIR), PAIR).drop("method"),
+        boosting.boosted_steps(learned(b), boosting.history(of(series, "boosted_trees"), PAIR), PAIR).drop("method"),
         banded("croston", "croston"),
         banded("moving_average", "moving"),
         f.insufficient_weekly(none, PAIR).drop("confidence"),
