@@ -28,7 +28,7 @@ from pantrylens.llm.shared import mixed, powers, text_bytes
 
 SPACE, MARK_CODE, LITERAL_MARK = 0x20, ord(MARK), 0x110000
 #: Characters that one numpy step works on; a longer text is a step of its own.
-STEP_CHARS = 1_000_000
+STEP_CHARS = 300_000
 
 
 def code_hash_sums(codes: np.ndarray) -> np.ndarray:
@@ -89,12 +89,6 @@ class Sampler:
         self.prefixes = [HashTable(s, np.zeros(len(s), dtype=np.int64)) for s in starts]
         self.weights = log_weights
         self.unknown = 3 * float(log_weights.min())
-        texts = [p.replace(MARK, " ").encode() if ok else b"" for p, ok in zip(vocabulary.pieces, vocabulary.normal)]
-        for b, i in enumerate(vocabulary.byte_ids):
-            texts[i] = bytes([b])
-        self.text_end = np.cumsum([len(t) for t in texts])
-        self.text_start = self.text_end - np.array([len(t) for t in texts])
-        self.text = np.frombuffer(b"".join(texts), dtype=np.uint8)
 
     def lattice(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray):
         """Edges of chunks laid end to end in ``codes``, sorted by their ends: start, end, piece (or -1 - code)."""
@@ -226,12 +220,25 @@ class Sampler:
         row = np.repeat(np.arange(len(per_row)), per_row)
         return out, np.bincount(row, weights=extra, minlength=len(per_row)).astype(np.int64)
 
+
+class Speller:
+    """What the pieces spell; without the tables that sampling needs, as it has a worker of its own."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        texts = [p.replace(MARK, " ").encode() if ok else b"" for p, ok in zip(vocabulary.pieces, vocabulary.normal)]
+        for b, i in enumerate(vocabulary.byte_ids):
+            texts[i] = bytes([b])
+        self.text_end = np.cumsum([len(t) for t in texts])
+        self.text_start = self.text_end - np.array([len(t) for t in texts])
+        self.text = np.frombuffer(b"".join(texts), dtype=np.uint8)
+
     def decode(self, ids: np.ndarray) -> bytes:
         size = (self.text_end - self.text_start)[ids]
         base = np.cumsum(size) - size
         return self.text[np.arange(int(size.sum())) + np.repeat(self.text_start[ids] - base, size)].tobytes()
 
 
+_spellers: dict[str, Speller] = {}
 _samplers: dict[tuple[str, float], Sampler] = {}
 
 
@@ -288,7 +295,9 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     def spell(x):
         import pandas as pd
 
-        of = sampler(model_path, 1.0)
+        if model_path not in _spellers:
+            _spellers[model_path] = Speller(load(model_path))
+        of = _spellers[model_path]
         return pd.Series([of.decode(np.asarray(v, dtype=np.int64)).decode() for v in x])
 
     return encoded.withColumn(out_col, spell(ids_col))
