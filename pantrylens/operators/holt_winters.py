@@ -18,7 +18,7 @@ SEASON = 7
 # Least value of a series, quantile of the band.
 FLOOR, Z95 = 0.1, 1.959963984540054
 # The grid of smoothing factors, and what the best ones are multiplied by for the finer grid.
-GRID = {"alpha": (0.1, 0.3, 0.5, 0.8), "beta": (0.01, 0.1, 0.3), "gamma": (0.01, 0.1, 0.3), "phi": (0.8, 0.9, 0.98)}
+GRID = {"alpha": (0.1, 0.3, 0.6), "beta": (0.01, 0.1), "gamma": (0.05, 0.3), "phi": (0.9, 0.98)}
 FINER = (0.7, 1.0, 1.3)
 MOST = 0.99
 FACTORS = ("alpha", "beta", "gamma", "phi")
@@ -84,21 +84,11 @@ def _grid() -> Column:
 
 
 def _finer(best: Column) -> Column:
+    """Level and season factors round the best ones; trend and damping stay."""
     steps = F.array(*[F.lit(v) for v in FINER])
-    rows = F.transform(
-        steps,
-        lambda a: F.transform(
-            steps,
-            lambda b: F.transform(
-                steps,
-                lambda g: F.struct(
-                    *[F.least(best[n] * m, F.lit(MOST)).alias(n) for n, m in (("alpha", a), ("beta", b), ("gamma", g))],
-                    best["phi"].alias("phi"),
-                ),
-            ),
-        ),
-    )
-    return F.flatten(F.flatten(rows))
+    near = lambda name, m: F.least(best[name] * m, F.lit(MOST)).alias(name)
+    row = lambda a, g: F.struct(near("alpha", a), best["beta"].alias("beta"), near("gamma", g), best["phi"].alias("phi"))
+    return F.flatten(F.transform(steps, lambda a: F.transform(steps, lambda g: row(a, g))))
 
 
 def with_holt_winters(series: DataFrame) -> DataFrame:

@@ -46,8 +46,8 @@ SELECT item_id, n, last, y, list_transform(y[1:{2 * SEASON}], lambda v: greatest
   ({_mean(SEASON)} - level0) / {SEASON} AS trend0 FROM {lists} WHERE n >= {2 * SEASON}""",
         f"{name}_coarse": _fold(f"{name}_start", f"{name}_coarse", f"(SELECT * FROM {grid}) g ON true"),
         f"{name}_regrid": f"""
-SELECT item_id, {", ".join(f"least({f} * m_{f}, {MOST}::DOUBLE) AS {f}" for f in ("alpha", "beta", "gamma"))}, phi
-FROM (SELECT item_id, {_FACTORS} FROM ({_best(f"{name}_coarse")})), {", ".join(_values(f"m_{f}", FINER) for f in ("alpha", "beta", "gamma"))}""",
+SELECT item_id, least(alpha * m_alpha, {MOST}::DOUBLE) AS alpha, beta, least(gamma * m_gamma, {MOST}::DOUBLE) AS gamma, phi
+FROM (SELECT item_id, {_FACTORS} FROM ({_best(f"{name}_coarse")})), {_values("m_alpha", FINER)}, {_values("m_gamma", FINER)}""",
         f"{name}_fine": _fold(f"{name}_start", f"{name}_fine", f"{name}_regrid USING (item_id)"),
         f"{name}_fit": f"""
 SELECT b.*, last, y, sqrt(greatest(squares / n - (error / n) * (error / n), 0)) AS spread, len(list_filter(y, lambda v: v <> 0)) AS sold

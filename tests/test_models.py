@@ -35,7 +35,7 @@ def plain_fold(y, alpha, beta, gamma, phi):
 def plain_fit(y):
     best = min(plain_fold(y, *p) for p in itertools.product(*hw.GRID.values()))
     a, b, g, phi = best[1]
-    finer = [(min(a * x, hw.MOST), min(b * u, hw.MOST), min(g * w, hw.MOST), phi) for x in hw.FINER for u in hw.FINER for w in hw.FINER]
+    finer = [(min(a * x, hw.MOST), b, min(g * w, hw.MOST), phi) for x in hw.FINER for w in hw.FINER]
     return min(plain_fold(y, *p) for p in finer)
 
 
