@@ -114,8 +114,8 @@ def _(b):
 
 @q(
     "bom_demand",
-    """SELECT sku_id, round(sum(total_demand * quantity), 2) AS component_demand, count(*) AS parents
+    """SELECT sku_id, round(sum(total_demand * quantity), 6) AS component_demand, count(*) AS parents
 FROM dim_bom JOIN item_summary ON item_id = parent_sku_id GROUP BY 1""",
 )
 def _(b):
-    return h.component_demand(item_demand(b), b.bom).withColumn("component_demand", F.round("component_demand", 2))
+    return h.component_demand(item_demand(b), b.bom).withColumn("component_demand", F.round("component_demand", 6))
