@@ -18,7 +18,7 @@ SEASON = 7
 # Least value of a series, quantile of the band.
 FLOOR, Z95 = 0.1, 1.959963984540054
 # The grid of smoothing factors, and what the best ones are multiplied by for the finer grid.
-GRID = {"alpha": (0.1, 0.3, 0.6), "beta": (0.01, 0.1), "gamma": (0.05, 0.3), "phi": (0.9, 0.98)}
+GRID = {"alpha": (0.1, 0.3, 0.6), "beta": (0.01, 0.1, 0.3), "gamma": (0.05, 0.3), "phi": (0.9, 0.98)}
 FINER = (0.7, 1.0, 1.3)
 MOST = 0.99
 FACTORS = ("alpha", "beta", "gamma", "phi")
