@@ -11,8 +11,9 @@ from pantrylens.llm.shared import saved
 def connected(edges: DataFrame) -> DataFrame:
     """node and label of every node in ``edges`` (columns a, b); equal labels are one component.
 
-    Each round at least halves the nodes left in every component. All tables stay distributed; a
-    node with very many edges is aggregated before the shuffle and its joins can be split.
+    Names are hashes, so that along a path a round leaves about half of the nodes (a path named in
+    order would lose one a round). All tables stay distributed; a node with very many edges is
+    aggregated before the shuffle and its joins can be split.
     """
     left = saved(edges.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None

@@ -8,19 +8,27 @@ such a region whose two-bit sketches look alike are candidates.
 
 The first rounds confirm on the full sets, for each node, its most alike candidate of another
 component and its hub: of the candidates that are surely near, the first in an order all agree on, so
-that a large group gathers around few nodes. What is linked is joined. The last round takes regions of
-``wide_region`` and confirms every other candidate pair that still lies in two components, however
-many a node has. So no pair within a large group is confirmed once it is known to hang together.
+that a large group gathers around few nodes. What is linked is joined.
+
+The last round leaves no region out. All nodes that share ``least_depth`` values of a tree are a
+bucket; buckets of one component are done. Of the others, two members of different components are
+compared in the first tree whose bucket they share, whatever the size of the bucket: one of more than
+``wide_region`` members, or of very long texts, is dealt into blocks, and every two blocks meet in a
+group of their own. First only signatures travel, and mark the nodes with a pair worth confirming;
+then the full sets of those nodes. A group gives the links that join its components, never its pairs.
 
 A pair of similarity s shares a prefix of d values in one of T trees with probability
-1 - (1 - s^d)^T; at 0.8, depth 3 and 16 trees this is 0.99999. Where more than ``region`` neighbours
-share a prefix, the deeper one lowers it: in groups of more than ``wide_region`` different texts that
-hang together by single links only, a link can be missed. A range boundary between two neighbours costs one tree of a pair, not the pair.
+1 - (1 - s^d)^T; at 0.8, depth 3 and 16 trees this is 0.99999. Its signatures agree in too few values
+with probability 0.00003 at most. A range boundary between two neighbours costs the first rounds one
+tree of a pair, and the last round nothing. The last round's work is quadratic in the members of one
+bucket that are not yet of one component.
 
 Defined cases: a null text, or one without words, has an empty set and is its own component. With
 fewer words than a shingle the whole sequence is the only shingle. Rows are told apart by their
 texts: rows with an equal id and text are alike in all outputs. A row without an id can link others
-but a component's id is its smallest id present; it is kept only if no row of its component has one.
+but a component's id is its smallest id present; it is kept only if no row of its component has one. A very
+long text is a step, and at most a block, of its own. Columns other than id and text are not read, so
+their names cannot clash.
 """
 
 from __future__ import annotations
@@ -37,6 +45,10 @@ from pantrylens.llm.shared import Words, mixed, saved, steps, text_bytes, word_w
 
 TREES, DEPTH = 16, 8
 HASHES = TREES * DEPTH
+#: Bytes of text that one numpy step works on.
+STEP = 500_000
+#: Shingles that a block holds for each member it may have.
+SHINGLES_A_MEMBER = 512
 _ODD = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -95,7 +107,7 @@ def signed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, starts, ends = text_bytes(batch.column(1))
-            for lo, hi in steps(starts, ends):
+            for lo, hi in steps(starts, ends, STEP):
                 sets, per_row = shingles(buf, starts[lo:hi], ends[lo:hi], size)
                 some = np.flatnonzero(per_row)
                 nodes, sigs = [None] * (hi - lo), [None] * (hi - lo)
@@ -138,11 +150,11 @@ def branches(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.xxhash64("node")).repartitionByRange("tree", "key", "salt").sortWithinPartitions("tree", "key", "salt")
 
 
-def alike(rows: DataFrame, percent: int, region: int, least_depth: int, best_only: bool) -> DataFrame:
+def alike(rows: DataFrame, percent: int, region: int, least_depth: int) -> DataFrame:
     """Candidate pairs (node, to) of neighbouring rows in different components, with their sketch similarity.
 
-    With ``best_only`` each row in its tree gives the most alike row, and as ``hub`` the rank of the
-    first row, in one order that all rows agree on, among those that are surely near.
+    Each row in its tree gives the most alike row, and as ``hub`` the rank of the first row, in one
+    order that all rows agree on, among those that are surely near.
     """
     j = percent / 100
     # three and a half standard deviations below the share of equal two-bit values expected at the threshold
@@ -197,17 +209,14 @@ def alike(rows: DataFrame, percent: int, region: int, least_depth: int, best_onl
         if not left:
             left, right, likes = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0, int)]
         a, b, like = np.concatenate(left), np.concatenate(right), np.concatenate(likes)
-        if best_only and len(a):
-            ends, other, likes = np.r_[a, b], np.r_[b, a], np.r_[like, like]
-            best = first_of(ends, np.lexsort((np.abs(ends - other), -likes, ends)))
-            near = np.flatnonzero((likes >= sure_same) & (salt[other] < salt[ends]))
-            hub = near[first_of(ends[near], np.lexsort((salt[other][near], ends[near])))]
-            rows = np.r_[best, hub]
-            hubs = np.r_[np.full(len(best), len(salt)), np.full(len(hub), -1)]
-            a, b, like = ends[rows], other[rows], likes[rows]
-            order_of = pa.array(np.where(hubs < 0, salt[b], 0), pa.int64(), mask=hubs >= 0)
-        else:
-            order_of = pa.nulls(len(a), pa.int64())
+        ends, other, likes = np.r_[a, b], np.r_[b, a], np.r_[like, like]
+        best = first_of(ends, np.lexsort((np.abs(ends - other), -likes, ends)))
+        near = np.flatnonzero((likes >= sure_same) & (salt[other] < salt[ends]))
+        hub = near[first_of(ends[near], np.lexsort((salt[other][near], ends[near])))]
+        rows = np.r_[best, hub]
+        is_hub = np.r_[np.zeros(len(best), bool), np.ones(len(hub), bool)]
+        a, b, like = ends[rows], other[rows], likes[rows]
+        order_of = pa.array(salt[b], pa.int64(), mask=~is_hub)
         return pa.RecordBatch.from_arrays(
             [pa.array([nodes[i] for i in a.tolist()], pa.binary()), pa.array([nodes[i] for i in b.tolist()], pa.binary()), pa.array(like, pa.int64()), order_of],
             names=["node", "to", "alike", "hub"],
@@ -255,6 +264,150 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def blocks(nodes: DataFrame, wide_region: int, least_depth: int) -> DataFrame:
+    """Each node in each bucket of several components: bucket, tree, p and q (two blocks, or one twice), part (the node's), node.
+
+    Buckets are counted before anything is joined to them; only their hashes, components and set sizes travel.
+    """
+    width = 2 * DEPTH
+    prefix = F.array(*[F.xxhash64(F.lit(t), F.substring("sig", 1 + t * width, 2 * least_depth)) for t in range(TREES)])
+    keys = nodes.select("node", "n", F.xxhash64("label").alias("of"), F.posexplode(prefix).alias("tree", "bucket"))
+    sizes = keys.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.min("of").alias("first"), F.max("of").alias("last"))
+    parts = F.ceil(F.greatest("rows", F.col("shingles") / SHINGLES_A_MEMBER) / wide_region)
+    several = sizes.where("first <> last").select("bucket", F.least("rows", parts).alias("parts"))
+    dealt = keys.join(several, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit("part")), "parts"))
+    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return meets.select("bucket", "tree", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node")
+
+
+def by_group(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups with each row's group number; the last group of a batch waits for the next batch."""
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        keys = np.array([np.asarray(table[c]) for c in ("bucket", "p", "q")])
+        return np.r_[0, np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))]
+
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        if left is not None:
+            table = pa.concat_tables([left, table])
+        group = numbered(table)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield table.slice(0, cut).combine_chunks(), group[:cut]
+        left = table.slice(cut)
+    if left is not None:
+        yield left.combine_chunks(), numbered(left)
+
+
+class Members:
+    """Members of a few groups, and which of their pairs are worth confirming."""
+
+    def __init__(self, table: pa.Table, percent: int, least_depth: int):
+        self.percent, self.depth = percent, least_depth
+        j = percent / 100
+        # four standard deviations below the share of equal values expected at the threshold
+        self.least_same = HASHES * (j - 4 * (j * (1 - j) / HASHES) ** 0.5)
+        self.sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
+        self.size, self.tree, self.part = (np.asarray(table[c]) for c in ("n", "tree", "part"))
+        self.one_block = np.asarray(table["p"]) == np.asarray(table["q"])
+        number: dict[bytes, int] = {}
+        self.component = np.array([number.setdefault(x, len(number)) for x in table["label"].to_pylist()], dtype=np.int64)
+
+    def worth(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs are of two components, meet here and nowhere before, and may be near."""
+        lo, hi = np.minimum(self.size[a], self.size[b]), np.maximum(self.size[a], self.size[b])
+        ok = (self.component[a] != self.component[b]) & (self.one_block[a] | (self.part[a] != self.part[b])) & (100 * lo >= self.percent * hi)
+        at = np.flatnonzero(ok)
+        same = self.sig[a[at]] == self.sig[b[at]]
+        shared = same.reshape(-1, TREES, DEPTH)[:, :, : self.depth].all(axis=2)
+        ok[at] = (same.sum(axis=1) >= self.least_same) & (shared.argmax(axis=1) == self.tree[a[at]])
+        return ok
+
+
+def open_nodes(nodes: DataFrame, percent: int, wide_region: int, least_depth: int) -> DataFrame:
+    """The rows of ``blocks`` whose node has a pair worth confirming in that group."""
+    columns = ["bucket", "tree", "p", "q", "part", "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches):
+            members = Members(table, percent, least_depth)
+            found = np.zeros(len(group), dtype=bool)
+            a = np.arange(len(group))
+            for s in range(1, len(group)):
+                a = a[a + s < len(group)]
+                a = a[group[a] == group[a + s]]
+                if not len(a):
+                    break
+                ok = a[members.worth(a, a + s)]
+                found[ok] = found[ok + s] = True
+            yield from table.filter(pa.array(found)).select(columns).combine_chunks().to_batches()
+
+    facts = nodes.select("node", "n", "sig", "label")
+    rows = by_group(blocks(nodes, wide_region, least_depth).join(facts, "node"))
+    return rows.select(*columns, "n", "sig", "label").mapInArrow(run, "bucket long, tree int, p long, q long, part long, node binary")
+
+
+def node_sets(texts: DataFrame, size: int) -> DataFrame:
+    """node and its sorted shingle hashes, 8 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, starts, ends = text_bytes(batch.column(1))
+            for lo, hi in steps(starts, ends, STEP):
+                sets, per_row = shingles(buf, starts[lo:hi], ends[lo:hi], size)
+                packed = [x.tobytes() for x in np.split(sets, np.cumsum(per_row)[:-1])]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(packed, pa.binary())], names=["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, hashes binary")
+
+
+def block_links(opened: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, least_depth: int) -> DataFrame:
+    """Links a, b, confirmed on the full sets, that join the components of each group of ``opened``."""
+
+    def near(members: Members, sets: list[np.ndarray], a: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that are near to ``a``; its sets are looked up in steps of bounded size."""
+        out = [np.zeros(0, np.int64)]
+        ends = np.cumsum(members.size[others])
+        for lo, hi in steps(ends - members.size[others], ends, STEP):
+            some = others[lo:hi]
+            hashes = np.concatenate([sets[k] for k in some.tolist()])
+            at = np.minimum(np.searchsorted(sets[a], hashes), len(sets[a]) - 1)
+            both = np.add.reduceat((sets[a][at] == hashes).astype(np.int64), np.cumsum(members.size[some]) - members.size[some])
+            out.append(some[100 * both >= percent * (members.size[a] + members.size[some] - both)])
+        return np.concatenate(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, group in whole_groups(batches):
+            members = Members(table, percent, least_depth)
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in table["hashes"].to_pylist()]
+            names = table["node"].to_pylist()
+            left, right = [], []
+            edges = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]]), len(group)]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                component = members.component[lo:hi]
+                for a in range(lo, hi - 1):
+                    others = np.arange(a + 1, hi)
+                    others = others[members.worth(np.full(len(others), a), others)]
+                    for b in near(members, sets, a, others).tolist():
+                        if members.component[a] != members.component[b]:
+                            left.append(names[a])
+                            right.append(names[b])
+                            component[component == members.component[b]] = members.component[a]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+
+    facts = nodes.select("node", "n", "sig", "label").join(sets, "node")
+    rows = by_group(opened.join(facts, "node"))
+    return rows.select("bucket", "tree", "p", "q", "part", "node", "n", "sig", "label", "hashes").mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
@@ -272,7 +425,7 @@ def near_duplicates(
         rows.where("node is not null").groupBy("node").agg(F.min(id_col).alias("least"), F.first(named_row(id_col)).alias("of"), F.first("tag").alias("tag"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")),
         "nodes",
     )
-    found = saved(alike(branches(nodes.withColumn("label", F.col("node"))), percent, region, least_depth, True), "candidates")
+    found = saved(alike(branches(nodes.withColumn("label", F.col("node"))), percent, region, least_depth), "candidates")
     named = saved(found.select("node").union(found.select("to")).distinct().join(nodes, "node"), "near-nodes")
     texts = saved(node_texts(docs, named, id_col, text_col), "near-texts")
     labels = named.select("node", F.col("node").alias("label"))
@@ -280,7 +433,7 @@ def near_duplicates(
     for k in range(rounds):
         labelled = saved(named.join(labels, "node"), "labelled")
         if k:
-            found = saved(alike(branches(labelled), percent, region, least_depth, True), "candidates")
+            found = saved(alike(branches(labelled), percent, region, least_depth), "candidates")
         pairs = chosen(found)
         pairs = saved(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         links = saved(confirmed(pairs, texts, shingle, percent), "links")
@@ -288,12 +441,13 @@ def near_duplicates(
         if links.isEmpty():
             break
         labels = merged(labels, links)
-    labelled = saved(named.join(labels, "node"), "labelled")
-    # The rest: all other pairs between components. Pairs confirmed not to be links need no second look.
-    rest = alike(branches(labelled), percent, wide_region, least_depth, False)
-    rest = rest.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-    final = merged(labelled.select("node", "label"), confirmed(rest, texts, shingle, percent))
-    of_node = nodes.select("node", "least").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # The rest: every pair that shares a bucket and still lies in two components.
+    everyone = saved(nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    opened = saved(open_nodes(everyone, percent, wide_region, least_depth), "open-nodes")
+    some = everyone.join(opened.select("node").distinct(), "node")
+    sets = saved(node_sets(node_texts(docs, some, id_col, text_col), shingle), "open-sets")
+    final = merged(everyone.select("node", "label"), block_links(opened, everyone, sets, percent, least_depth))
+    of_node = nodes.select("node", "least").join(final, "node")
     least = of_node.groupBy("label").agg(F.min("least").alias("component"))
     component = saved(of_node.join(least, "label").select("node", "component"), "components")
     linked = rows.where("node is not null").join(component, "node").select(id_col, "n_shingles", F.col("component").alias("component_id"))

@@ -84,3 +84,37 @@ def test_large_and_borderline_groups(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert run(df, shingle=2) == plain(rows, 2)
     assert run(df, shingle=2, region=6, wide_region=200) == plain(rows, 2)
+
+
+def edited_group(rng, n, words, most):
+    """Texts that are one base with up to ``most`` words replaced: near pairs, and many that are just not."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    base = [word() for _ in range(words)]
+    for _ in range(n):
+        text = list(base)
+        for k in rng.sample(range(words), rng.randint(1, most)):
+            text[k] = word()
+        yield " ".join(text)
+
+
+@pytest.mark.parametrize("limits", [{}, {"region": 4, "wide_region": 40, "rounds": 1}])
+def test_group_of_more_texts_than_a_region(limits, spark):
+    """A large group, and a chain in which each text is near to the next one only."""
+    rng = random.Random(11)
+    rows = list(enumerate(edited_group(rng, 1300, 60, 6)))
+    chain = ["".join(rng.choice("klmnopqrst") for _ in range(5)) for _ in range(5000)]
+    rows += [(5000 + k, " ".join(chain[4 * k : 4 * k + 40])) for k in range(1200)]
+    want = plain(rows, 2)
+    assert len({c for _, _, c, _ in want}) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert run(df, shingle=2, **limits) == want
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    """Extra columns with the operator's own names, and 20 MB without white space, and 2 MB with."""
+    words = " ".join(f"w{k % 7919}" for k in range(300_000))
+    rows = [(1, words), (2, words + " end"), (3, "x" * 20_000_000), (4, "y z"), (5, "Y  Z")]
+    plainly = spark.createDataFrame(rows, "doc_id long, text string")
+    names = ["node", "tag", "sig", "label", "n", "n_shingles", "component_id", "kept"]
+    df = plainly.selectExpr("*", *[f"'clash' AS {c}" for c in names])
+    assert run(df, shingle=2) == plain(rows, 2)
