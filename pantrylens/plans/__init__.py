@@ -8,6 +8,7 @@ GROUPS = [
     "sourcing",
     "cleaning",
     "profiling",
+    "quality",
     "demand",
     "features",
     "classify",
