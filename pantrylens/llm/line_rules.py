@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pantrylens.llm.shared import Words, repeated_words, steps, text_bytes
+from pantrylens.llm.shared import SMALL_STEP_BYTES, Words, repeated_words, steps, text_bytes
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -87,7 +87,7 @@ def clean_lines(
         for batch in batches:
             column = batch.column(1 + len(carry))
             buf, starts, ends = text_bytes(column)
-            for lo, hi in steps(starts, ends):
+            for lo, hi in steps(starts, ends, SMALL_STEP_BYTES):
                 words = Words(buf, starts[lo:hi], ends[lo:hi])
                 n = words.per_row
                 head = words.inside & ((words.buf & 0xC0) != 0x80)

@@ -41,12 +41,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pantrylens.llm.components import connected
-from pantrylens.llm.shared import Words, mixed, saved, steps, text_bytes, word_windows
+from pantrylens.llm.shared import SMALL_STEP_BYTES, Words, mixed, saved, steps, text_bytes, word_windows
 
 TREES, DEPTH = 16, 8
 HASHES = TREES * DEPTH
-#: Bytes of text that one numpy step works on.
-STEP = 500_000
 #: Shingles that a block holds for each member it may have.
 SHINGLES_A_MEMBER = 512
 _ODD = np.uint64(0x2545F4914F6CDD1D)
@@ -107,7 +105,7 @@ def signed(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, starts, ends = text_bytes(batch.column(1))
-            for lo, hi in steps(starts, ends, STEP):
+            for lo, hi in steps(starts, ends, SMALL_STEP_BYTES):
                 sets, per_row = shingles(buf, starts[lo:hi], ends[lo:hi], size)
                 some = np.flatnonzero(per_row)
                 nodes, sigs = [None] * (hi - lo), [None] * (hi - lo)
@@ -361,7 +359,7 @@ def node_sets(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, starts, ends = text_bytes(batch.column(1))
-            for lo, hi in steps(starts, ends, STEP):
+            for lo, hi in steps(starts, ends, SMALL_STEP_BYTES):
                 sets, per_row = shingles(buf, starts[lo:hi], ends[lo:hi], size)
                 packed = [x.tobytes() for x in np.split(sets, np.cumsum(per_row)[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(packed, pa.binary())], names=["node", "hashes"])
@@ -376,7 +374,7 @@ def block_links(opened: DataFrame, nodes: DataFrame, sets: DataFrame, percent: i
         """Those of ``others`` that are near to ``a``; its sets are looked up in steps of bounded size."""
         out = [np.zeros(0, np.int64)]
         ends = np.cumsum(members.size[others])
-        for lo, hi in steps(ends - members.size[others], ends, STEP):
+        for lo, hi in steps(ends - members.size[others], ends, SMALL_STEP_BYTES):
             some = others[lo:hi]
             hashes = np.concatenate([sets[k] for k in some.tolist()])
             at = np.minimum(np.searchsorted(sets[a], hashes), len(sets[a]) - 1)

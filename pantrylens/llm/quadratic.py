@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pantrylens.llm.shared import Words, repeated_words, steps, text_bytes
+from pantrylens.llm.shared import SMALL_STEP_BYTES, Words, repeated_words, steps, text_bytes
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 UPPER = np.isin(np.arange(256), np.arange(65, 91))
@@ -88,7 +88,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             buf, starts, ends = text_bytes(texts)
-            for lo, hi in steps(starts, ends):
+            for lo, hi in steps(starts, ends, SMALL_STEP_BYTES):
                 x = statistics(buf, starts[lo:hi], ends[lo:hi])
                 offsets = pa.array(np.arange(0, width * (hi - lo) + 1, width, dtype=np.int32))
                 stats = pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))

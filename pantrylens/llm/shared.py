@@ -20,6 +20,8 @@ LOWER[65:91] += 32
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 STEP_BYTES = 2_000_000
+#: The same for operators that the pipeline runs one after another in workers that keep what they once took.
+SMALL_STEP_BYTES = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
