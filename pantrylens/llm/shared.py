@@ -58,7 +58,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The base and its inverse to the powers 0 to n - 1, modulo 2^64."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, STEP_BYTES + 1)
+        size = max(n, SMALL_STEP_BYTES + 1)
         both = []
         for base in (_BASE, _BASE_INVERSE):
             p = np.full(size, base, dtype=np.uint64)
