@@ -2,6 +2,10 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from pantrylens.operators import health, holt_winters as hw
 from pantrylens.plans import load_all
 from pantrylens.sources.bindings import Bound
 
@@ -27,3 +31,30 @@ def test_moving_average_daily_covers_series_of_every_length(spark, tmp_path):
     assert all(r.forecast == round(sum(recent) / 7, 4) for r in found[60])
     assert found[10][0].upper == round(1 + 1.959963984540054 * 0.2, 4)
     assert Bound(spark, folder).daily_events.select("item_id").distinct().count() == len(found)
+
+
+def test_many_fits_at_once_equal_fits_one_by_one(spark):
+    """Series of unequal lengths, more than are folded at once, nulls and a batch without any long series."""
+    rng = np.random.default_rng(1)
+    rows = [(k, [None if v > 8 else float(v) for v in rng.integers(0, 10, n)]) for k, n in enumerate(rng.integers(10, 40, 2 * hw.AT_ONCE + 9))]
+    series = spark.createDataFrame(rows, "k long, y array<double>").withColumn("n", F.size("y"))
+    got = {r.k: r.fit for r in hw.with_holt_winters(series.repartition(1)).collect()}
+    for k, y in rows:
+        if len(y) < 2 * hw.SEASON:
+            assert got[k] is None
+        elif k % 20 == 0:
+            one = hw.fits(np.array([[v or 0.0] for v in y]), np.array([len(y)]))
+            assert got[k].squares == one["squares"][0] and [got[k].end[c] for c in hw.END] == [one[c][0] for c in hw.END]
+    assert [r.fit for r in hw.with_holt_winters(series.where("n < 14")).collect()].count(None) == sum(len(y) < 14 for _, y in rows)
+
+
+def test_health_is_worked_out_from_one_forecast(spark):
+    """Every use of the forecast is a fit of all series: one of them, not one for the total and one for the trend."""
+    start = datetime(2024, 1, 1).date()
+    demand = spark.createDataFrame([(1, start + timedelta(days=k), float(k + 1)) for k in range(7)], "item_id long, date date, demand double")
+    read = F.udf(lambda x: x, "double")
+    stock = spark.createDataFrame([(1, 10.0, 3), (2, 5.0, None)], "item_id long, current_stock double, days_to_expiry int")
+    rows = health.health_scores(stock, demand.withColumn("demand", read("demand")))
+    assert {r.item_id: (r.avg_daily_demand, r.trend_pct) for r in rows.collect()} == {1: (4.0, 200.0), 2: (0.0, 0.0)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [item_id") == 1
