@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from pantrylens.operators import health, holt_winters as hw
+from pantrylens.operators import context as c, health, holt_winters as hw
 from pantrylens.plans import load_all
 from pantrylens.sources.bindings import Bound
 
@@ -58,3 +58,21 @@ def test_health_is_worked_out_from_one_forecast(spark):
     assert {r.item_id: (r.avg_daily_demand, r.trend_pct) for r in rows.collect()} == {1: (4.0, 200.0), 2: (0.0, 0.0)}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [item_id") == 1
+
+
+def test_common_events_are_not_spread_over_targets(spark):
+    """The combined factor of every target, without a row for each target and event of all places."""
+    day = datetime(2024, 1, 1).date()
+    at = lambda k: day + timedelta(days=k)
+    targets = spark.createDataFrame([(p, at(k)) for p in (1, 2, 3, None) for k in (0, 5, 30)] + [(1, None)], "place_id long, date date")
+    everywhere = [(f"e{k}", "click", at(k % 9), None, 0.5 + (k % 11) / 10, None) for k in range(40)]
+    own = [("own", "view", at(2), at(40), 1.3, [1, 2, 2]), ("none", "view", at(0), None, None, [1]), ("empty", "view", at(30), None, 0.7, [])]
+    events = spark.createDataFrame(everywhere + own, "name string, event_type string, start_date date, end_date date, impact_factor double, place_ids array<long>")
+    spread = c.combined_factor(targets, c.active_events(targets, events))
+    common = c.common_events(targets, events)
+    assert common.count() == common.distinct().count() < 3 * 41
+    got = c.combined_factor(targets, c.local_events(targets, events), common)
+    key = lambda rows: sorted(map(str, rows.collect()))
+    assert key(got) == key(spread) and got.count() == 13
+    assert {r.events for r in got.where("place_id is null").collect()} == {0}
+    assert {(r.events, r.combined_factor) for r in got.where((F.col("place_id") == 3) & (F.col("date") == at(30))).collect()} == {(1, 0.8)}
