@@ -76,3 +76,10 @@ def test_common_events_are_not_spread_over_targets(spark):
     assert key(got) == key(spread) and got.count() == 13
     assert {r.events for r in got.where("place_id is null").collect()} == {0}
     assert {(r.events, r.combined_factor) for r in got.where((F.col("place_id") == 3) & (F.col("date") == at(30))).collect()} == {(1, 0.8)}
+
+
+def test_profiles_do_not_broadcast_customers(spark):
+    """A profile scans the orders several times; each would bring all customers to the driver."""
+    rows = Bound(spark, "/root/testdata/sf0.001").orders_raw
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
