@@ -83,3 +83,28 @@ def test_profiles_do_not_broadcast_customers(spark):
     rows = Bound(spark, "/root/testdata/sf0.001").orders_raw
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_many_series_of_unequal_lengths_keep_their_own_states(spark):
+    """The arrays that the days share leave no trace of one series or set in another: each equals a plain fold."""
+    rng = np.random.default_rng(5)
+    lengths = np.array([40, 31, 31, 20, 14])
+    y = np.zeros((40, 5))
+    for k, n in enumerate(lengths):
+        y[:n, k] = rng.integers(0, 9, n)
+    factors = np.array([(0.1, 0.01, 0.05, 0.9), (0.6, 0.3, 0.3, 0.98)]).T[:, :, None]
+    got = hw.fold(y, lengths, factors)
+    for k, n in enumerate(lengths):
+        for j in range(2):
+            alpha, beta, gamma, phi = factors[:, j, 0]
+            z = np.maximum(y[:n, k], hw.FLOOR)
+            level = sum(z[:7]) / 7
+            trend, seasons, squares = (sum(z[7:14]) / 7 - level) / 7, list(z[:7] - level), 0.0
+            for t in range(n):
+                before, season = level + phi * trend, seasons[t % 7]
+                new = alpha * (z[t] - season) + (1 - alpha) * before
+                squares += (z[t] - before - season) ** 2
+                trend = beta * (new - level) + (1 - beta) * phi * trend
+                seasons[t % 7], level = gamma * (z[t] - before) + (1 - gamma) * season, new
+            found = [got[c][j, k] for c in ("level", "trend", "squares", "s0")]
+            np.testing.assert_allclose(found, [level, trend, squares, seasons[n % 7]], rtol=1e-9)
