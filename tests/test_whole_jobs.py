@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pantrylens.operators import context as c, health, holt_winters as hw
-from pantrylens.plans import load_all
+from pantrylens.plans import explain, load_all
 from pantrylens.sources.bindings import Bound
 
 QUERIES = load_all()[0]
@@ -108,3 +108,12 @@ def test_many_series_of_unequal_lengths_keep_their_own_states(spark):
                 seasons[t % 7], level = gamma * (z[t] - before) + (1 - gamma) * season, new
             found = [got[c][j, k] for c in ("level", "trend", "squares", "s0")]
             np.testing.assert_allclose(found, [level, trend, squares, seasons[n % 7]], rtol=1e-9)
+
+
+def test_explanations_read_the_lines_once(spark):
+    """Recommendations, their facts and the days of history come from one forecast, not one each."""
+    rows = explain.recommended(Bound(spark, "/root/testdata/sf0.001"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_partkey") and plan.count("Relation [l_orderkey") == 1
+    twice = rows.groupBy("item_id", "rule").count().where("count > 1").count()
+    assert twice == 0 and rows.count() > 0
