@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 from pyspark.sql import functions as F
 
-from pantrylens.operators import context as c, health, holt_winters as hw
+from pantrylens.operators import context as c, demand, health, holt_winters as hw
 from pantrylens.plans import explain, load_all
 from pantrylens.sources.bindings import Bound
 
@@ -117,3 +117,21 @@ def test_explanations_read_the_lines_once(spark):
     assert plan.count("l_partkey") and plan.count("Relation [l_orderkey") == 1
     twice = rows.groupBy("item_id", "rule").count().where("count > 1").count()
     assert twice == 0 and rows.count() > 0
+
+
+def test_dealt_demand_equals_plain_demand_with_null_and_repeated_keys(spark):
+    lines = spark.createDataFrame(
+        [(1, 1, 2.0, 1.0, 1.0), (1, 1, 3.0, None, 1.0), (2, 1, None, 1.0, 1.0), (2, None, 4.0, 2.0, None), (None, 1, 5.0, 1.0, 1.0), (9, 2, 6.0, 1.0, 1.0), (3, 2, 7.0, 1.0, 1.0)],
+        "order_id long, item_id long, quantity double, price double, cost double",
+    )
+    orders = spark.createDataFrame([(1, "2024-01-01", 1), (1, "2024-01-02", 1), (2, "2024-01-01", 1), (3, None, 1), (None, "2024-01-03", 1)], "id long, day string, place_id long")
+    orders = orders.withColumn("created", F.col("day").cast("timestamp"))
+    plain, dealt = (sorted(map(str, demand.demand_per_item(lines, orders, dealt=x).collect())) for x in (False, True))
+    assert dealt == plain and len(plain) == 5
+
+
+def test_forecasts_of_parts_use_no_hash_table(spark, sf_dir, capsys):
+    for name in ("score_stock", "risk_flag", "discount_urgency", "rule_trend"):
+        QUERIES[name](spark, sf_dir).explain()
+        plan = capsys.readouterr().out
+        assert "HashAggregate" not in plan and plan.count("SortAggregate") == 3, name
