@@ -11,6 +11,9 @@ table gives no piece. The order of the stream is that of the written partitions
 
 from __future__ import annotations
 
+import os
+import string
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,48 +24,115 @@ from pyspark.sql import functions as F
 
 from pantrylens.llm.shared import saved
 
-#: Entries of a worker's word cache; a full cache is emptied.
-CACHE_WORDS = 500_000
+#: Words after which a worker's cache starts anew; the words before stay at hand until it does so again.
+CACHE_WORDS = 150_000
 # Fixed value: how every special token of the vocabulary begins.
 SPECIAL = b"<|"
-#: Words that the tokenizer gets at once.
-BATCH_WORDS = 20_000
+#: Words that the tokenizer gets at once, and that go as one text.
+BATCH_WORDS, TEXT_WORDS = 2_000, 300
+PUNCTUATION = string.punctuation.encode()
 
-_tokenizers: dict[str, tuple] = {}
 
+class WordIds:
+    """A tokenizer and the ids of the words that a worker met lately, kept from task to task."""
 
-def word_tokenizer(path: str):
-    """The tokenizer in ``path`` and this worker's cache of word ids, kept from task to task."""
-    if path not in _tokenizers:
-        import os
-
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        kind = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        _tokenizers[path] = (tokenizer, kind, {})
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.kind, self.code = (np.uint16, "H") if size <= 1 << 16 else (np.uint32, "I")
+        self.ids: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.apart: dict[bytes, bool] = {}
+        self.model = self.tokenizer.model if self._whole(string.ascii_lowercase) else None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        #: Whether an id ends a word; None where the vocabulary does not tell.
+        self.last = np.array([(self.tokenizer.id_to_token(k) or "").endswith(suffix) for k in range(size)]) if suffix else None
+
+    def of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The cache, with the ids of all ``words`` in it.
+
+        Holds for tokenizers that drop white space and never join across it: a text's ids are then
+        those of its words. Special tokens in a text are told by their exact spelling, as the tokenizer does.
+        """
+        if len(self.ids) > CACHE_WORDS:
+            self.ids, self.before = {}, self.ids
+        ids, before = self.ids, self.before
+        new, cut = [], []
+        for word in words:
+            if word in ids:
+                continue
+            old = before.get(word)
+            if old is not None:
+                ids[word] = old
+                continue
+            stem, end = (word, b"") if word.isalpha() else self._parts(word)
+            if end:
+                cut.append((word, stem, end))
+            else:
+                new.append(word)
+        for part in {x for _, stem, end in cut for x in (stem, end)}.difference(words):
+            old = before.get(part)
+            if part not in ids and old is None:
+                new.append(part)
+            elif old is not None:
+                ids[part] = old
+        self._encode(new)
+        ids.update([(word, ids[stem] + ids[end]) for word, stem, end in cut])
+        return ids
+
+    def _whole(self, word: str) -> bool:
+        """Whether the tokenizer hands this word to its model as it is."""
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        same = normal is None or normal.normalize_str(word) == word
+        return same and cut is not None and [x for x, _ in cut.pre_tokenize_str(f"{word} {word}")] == [word, word]
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """A word without its last punctuation, and that, if the tokenizer sets it apart from letters and digits."""
+        stem = word.rstrip(PUNCTUATION)
+        if len(stem) == len(word) or not stem[-1:].isalnum() or SPECIAL in word:
+            return word, b""
+        end = word[len(stem) :]
+        if end not in self.apart:
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str if self.tokenizer.pre_tokenizer else lambda x: [(x, (0, len(x)))]
+            self.apart[end] = all(cut(x + end.decode())[0][1] == (0, 1) for x in "a0")
+        return (stem, end) if self.apart[end] else (word, b"")
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Words of a to z go to the model at once. Other words of letters go as one text: each is a piece, whose last id ends a word."""
+        letters, alone = [], []
+        for word in words:
+            if self.model is not None and word.isalpha() and word.islower():
+                self.ids[word] = array(self.code, [x.id for x in self.model.tokenize(word.decode())]).tobytes()
+            else:
+                (letters if self.last is not None and word.decode().isalpha() else alone).append(word)
+        for lo in range(0, len(letters), TEXT_WORDS):
+            some = letters[lo : lo + TEXT_WORDS]
+            got = self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)
+            ids = np.array(got[0].ids, dtype=self.kind)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * ids.itemsize).tolist()
+            if len(ends) == len(some):
+                flat = ids.tobytes()
+                self.ids.update([(w, flat[a:b]) for w, a, b in zip(some, [0, *ends], ends)])
+            else:
+                alone += some
+        for lo in range(0, len(alone), BATCH_WORDS):
+            some = alone[lo : lo + BATCH_WORDS]
+            for word, got in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
+                self.ids[word] = array(self.code, got.ids).tobytes()
+
+
+_tokenizers: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordIds(path)
     return _tokenizers[path]
 
 
-def encode_words(path: str, words: set[bytes]) -> dict[bytes, bytes]:
-    """The cache, with the ids of all ``words`` in it.
-
-    Holds for tokenizers that drop white space and never join across it: a text's ids are then
-    those of its words. Special tokens in a text are told by their exact spelling, as the tokenizer does.
-    """
-    tokenizer, kind, cache = word_tokenizer(path)
-    new = list(words - cache.keys())
-    if len(cache) + len(new) > CACHE_WORDS:
-        cache.clear()
-        new = list(words)
-    for lo in range(0, len(new), BATCH_WORDS):
-        some = new[lo : lo + BATCH_WORDS]
-        for word, got in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-            cache[word] = np.array(got.ids, dtype=kind).tobytes()
-    return cache
-
-
 def words_of(text: bytes) -> list[bytes]:
     """Words in lower case, unless the text may hold special tokens, which have a case."""
     return (text if SPECIAL in text else text.lower()).split()
@@ -80,8 +150,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
             edges = np.flatnonzero(np.diff(np.cumsum(size) // step_bytes)) + 1
             for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(size)]):
                 split = [words_of((t or "").encode()) for t in texts[lo:hi].to_pylist()]
-                known = encode_words(tokenizer_path, set().union(*split))
-                kind = word_tokenizer(tokenizer_path)[1]
+                known = word_ids(tokenizer_path).of(set().union(*split))
+                kind = word_ids(tokenizer_path).kind
                 last = np.array([end_id], dtype=kind).tobytes()
                 ids = [b"".join(map(known.__getitem__, words)) + last for words in split]
                 n = np.array([len(x) // kind().itemsize for x in ids], dtype=np.int64)
