@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pantrylens.llm.shared import SMALL_STEP_BYTES, Words, repeated_words, steps, text_bytes
+from pantrylens.llm.shared import SMALL_STEP_BYTES, Words, giving_back, repeated_words, steps, text_bytes
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -106,4 +106,4 @@ def clean_lines(
                 )
 
     names = [id_col, *carry, *(x.split()[0] for x in OUTPUTS.split(", "))]
-    return docs.select(id_col, *carry, text_col).mapInArrow(judge, schema)
+    return docs.select(id_col, *carry, text_col).mapInArrow(giving_back(judge), schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pantrylens.llm.shared import saved
+from pantrylens.llm.shared import giving_back, saved
 
 #: Words after which a worker's cache starts anew; the words before stay at hand until it does so again.
 CACHE_WORDS = 150_000
@@ -163,7 +163,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
                 )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, part long, at long, n_ids long, ids binary")
+    return docs.select(id_col, text_col).mapInArrow(giving_back(run), f"`{id_col}` {kind}, part long, at long, n_ids long, ids binary")
 
 
 def pack(
@@ -210,4 +210,4 @@ def pack(
                 )
 
     schema = f"`{id_col}` {kind_name}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return tokens.select(id_col, "part", "at", "n_ids", "ids").mapInArrow(cut, schema)
+    return tokens.select(id_col, "part", "at", "n_ids", "ids").mapInArrow(giving_back(cut), schema)

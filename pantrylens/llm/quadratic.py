@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pantrylens.llm.shared import SMALL_STEP_BYTES, Words, repeated_words, steps, text_bytes
+from pantrylens.llm.shared import SMALL_STEP_BYTES, Words, giving_back, repeated_words, steps, text_bytes
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 UPPER = np.isin(np.arange(256), np.arange(65, 91))
@@ -95,7 +95,7 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 kept = [batch.column(k)[lo:hi] for k in range(1 + len(carry))]
                 yield pa.RecordBatch.from_arrays([*kept, stats], names=[id_col, *carry, "stats"])
 
-    return docs.select(id_col, *carry, text_col).mapInArrow(measure, schema)
+    return docs.select(id_col, *carry, text_col).mapInArrow(giving_back(measure), schema)
 
 
 @dataclass

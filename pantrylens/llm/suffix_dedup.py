@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pantrylens.llm.bwt_intervals import shared_prefix_groups
-from pantrylens.llm.shared import prefix_sums, saved, span_hash, steps, text_bytes
+from pantrylens.llm.shared import SMALL_STEP_BYTES, giving_back, prefix_sums, saved, span_hash, steps, text_bytes
 
 GRAM = 20
 NO_ID = (1 << 63) - 1
 #: Bytes of anchors in a task that looks for shared ones, and of segments in one transform.
-SHARD_BYTES, TRANSFORM_BYTES = 16 << 20, 1 << 20
+SHARD_BYTES, TRANSFORM_BYTES = 16 << 20, 1 << 19
 #: Texts with one anchor beyond which it is hot, and the most anchors that can be hot (8 MB of hashes).
 HOT_TEXTS, MOST_HOT = 100_000, 1_000_000
 #: Rows of one batch whose texts share one list of keys.
@@ -110,7 +110,7 @@ def anchors(texts: DataFrame, least: int, shards: int) -> DataFrame:
                 buf, starts, ends = text_bytes(batch.column(1))
                 keys = np.asarray(batch.column(0)).astype(np.int64)
                 found = []
-                for lo, hi in steps(starts, ends):
+                for lo, hi in steps(starts, ends, SMALL_STEP_BYTES):
                     h, row, at, n = segments(buf, starts[lo:hi], ends[lo:hi], least)
                     part = np.empty(len(h), dtype=ENTRY)
                     part["low"], part["high"] = (h >> np.uint64(16)) & np.uint64(0xFFFFFFFF), h >> np.uint64(48)
@@ -134,7 +134,7 @@ def anchors(texts: DataFrame, least: int, shards: int) -> DataFrame:
                     part = rows[k : k + 500]
                     yield pa.RecordBatch.from_pydict({f.name: [r[i] for r in part] for i, f in enumerate(SENT)}, schema=SENT)
 
-    return texts.select("key", "text").mapInArrow(run, "shard long, known boolean, keys binary, data binary")
+    return texts.select("key", "text").mapInArrow(giving_back(run), "shard long, known boolean, keys binary, data binary")
 
 
 SENT = pa.schema([("shard", pa.int64()), ("known", pa.bool_()), ("keys", pa.binary()), ("data", pa.binary())])
@@ -226,7 +226,7 @@ def cut_segments(texts: DataFrame, least: int, hot: np.ndarray, want_hot: bool)
                 names=["hash", "segment", "who"],
             )
 
-    return texts.mapInArrow(run, "hash long, segment binary, who binary")
+    return texts.mapInArrow(giving_back(run), "hash long, segment binary, who binary")
 
 
 def lost_windows(who: list[bytes], ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -296,7 +296,7 @@ def searched(pieces: DataFrame, least: int) -> DataFrame:
         if parts:
             yield search(parts, who)
 
-    return pieces.mapInArrow(run, LOST)
+    return pieces.mapInArrow(giving_back(run), LOST)
 
 
 def merged_by_content(pieces: DataFrame, least: int) -> DataFrame:
@@ -366,7 +366,7 @@ def remove_repeats(docs: DataFrame, least: int = 50, id_col: str = "doc_id", tex
                     names=[*names, *(o.split()[0] for o in outputs.split(", "))],
                 )
 
-    return keyed.join(marks, "key", "left").select("key", "doc", "text", *plain, "whole", "windows").mapInArrow(cut, schema)
+    return keyed.join(marks, "key", "left").select("key", "doc", "text", *plain, "whole", "windows").mapInArrow(giving_back(cut), schema)
 
 
 def without(data: bytes, whole: bool | None, windows: list | None, least: int) -> tuple[int, int, int, list, bytes]:
