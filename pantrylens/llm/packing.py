@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from pantrylens.llm.shared import giving_back, saved
 
-#: Words after which a worker's cache starts anew; the words before stay at hand until it does so again.
+#: Words after which a task's cache starts anew; the words before stay at hand until it does so again.
 CACHE_WORDS = 150_000
 # Fixed value: how every special token of the vocabulary begins.
 SPECIAL = b"<|"
@@ -34,7 +34,7 @@ PUNCTUATION = string.punctuation.encode()
 
 
 class WordIds:
-    """A tokenizer and the ids of the words that a worker met lately, kept from task to task."""
+    """A tokenizer, kept from task to task, and the ids of the words that a task met lately."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,6 +83,10 @@ class WordIds:
         ids.update([(word, ids[stem] + ids[end]) for word, stem, end in cut])
         return ids
 
+    def forget(self) -> None:
+        """Empties the cache: the worker may go on with other work."""
+        self.ids, self.before = {}, {}
+
     def _whole(self, word: str) -> bool:
         """Whether the tokenizer hands this word to its model as it is."""
         normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
@@ -161,6 +165,8 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str
                     [batch.column(0)[lo:hi], pa.array(np.full(len(n), part)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())],
                     names=[id_col, "part", "at", "n_ids", "ids"],
                 )
+        if tokenizer_path in _tokenizers:
+            word_ids(tokenizer_path).forget()
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(id_col, text_col).mapInArrow(giving_back(run), f"`{id_col}` {kind}, part long, at long, n_ids long, ids binary")

@@ -3,6 +3,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 
 from pantrylens.llm import packing
 from pantrylens.llm.queries import vocabulary_path
@@ -43,3 +45,16 @@ def test_frequent_words_outlast_a_full_cache(monkeypatch):
         known.of({b"the", b"the.", *(f"rare{chr(97 + k % 26)}{chr(97 + j)}{'x' * k}".encode() for j in range(20))})
         assert len(known.ids) + len(known.before) <= 2 * (50 + 23)
     assert asked.count(b"the") == 1 and asked.count(b"the.") == 0
+
+
+def test_a_task_leaves_no_words_behind(monkeypatch):
+    class Plain:
+        dtypes = [("doc_id", "bigint"), ("text", "string")]
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    monkeypatch.setattr(TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    run = packing.tokenize(Plain(), PATH)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["the cat", None])], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in run(iter([batch]))) == 2
+    assert not packing.word_ids(PATH).ids and not packing.word_ids(PATH).before
