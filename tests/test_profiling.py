@@ -2,6 +2,7 @@
 
 import pytest
 
+from pantrylens.functions.stats import exact_quantiles
 from pantrylens.operators import profiling as p
 
 ROWS = [(1, 10, 1_600_000_000, 5.0, "a"), (1, 10, 1_600_000_000, 5.0, "a"), (2, None, 1_700_000_000, -2.5, None), (None, None, 1_650_000_000, None, None), (None, None, 1_650_000_000, None, None)]
@@ -57,6 +58,16 @@ def test_numeric_profile_leaves_out_columns_without_values(tables, measured):
     assert rows["dim_skus", "quantity"].median == 5.0
 
 
+def test_medians_send_bounds_to_the_cells_not_cells_to_the_driver(spark, capsys):
+    """Cells are many times the columns that Spark judges their size by; bounds are one row a column."""
+    wide = spark.range(1000).selectExpr("id", *[f"id * {k} AS c{k}" for k in range(2, 6)])
+    got = exact_quantiles(wide, wide.columns, [0.5])
+    assert {r.column: r.value for r in got.collect()} == {"id": 499.5, **{f"c{k}": 499.5 * k for k in range(2, 6)}}
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+
+
 def test_roles_and_ranges(measured):
     roles = {(r.table, r.column): r.role for r in p.column_roles(measured).collect()}
     assert roles["fct_sales", "created"] == "timestamp" and roles["fct_none", "created"] == "integer"
