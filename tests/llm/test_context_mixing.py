@@ -1,11 +1,14 @@
 """Scores against plain counts, against the sum of a normalised model, and against the unigram base."""
 
 import math
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pantrylens.llm import context_mixing as cm
@@ -111,3 +114,46 @@ def test_frequent_words_come_without_a_limit_and_within_their_number(spark, monk
     assert tables[0][0][b"w0"] == (9, -1.0, math.log10(9.1 / 10.0)) and not tables[0][1]
     monkeypatch.setattr(cm, "FREQUENT_WORDS", 0)
     assert cm.most_frequent(costs).count() == 0
+
+
+def group_table(words, rnd):
+    rows = sorted({(w, rnd.randrange(cm.KINDS)) for w in words for _ in range(2)}, key=lambda r: (r[0][: cm.SHARD_PREFIX], r[0] + b" "))
+    columns = [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32()), pa.array([rnd.randrange(4) for _ in rows], pa.int64())]
+    first = pa.array([r[0][: cm.SHARD_PREFIX] for r in rows], pa.binary())
+    return pa.table([*columns, first], names=["word", "kind", "c", "first"])
+
+
+def any_model():
+    rng = np.random.default_rng(1)
+    tables = [rng.integers(0, 5, ((1 << b), 2)).astype(float) for b in cm.TABLE_BITS]
+    return cm.Model(tables, cm.first_weights(), rng.normal(size=(cm.GATES, cm.LEVELS)))
+
+
+def test_parts_of_a_group_score_as_the_whole(monkeypatch):
+    """Counts of words so far are those of all words that begin alike, wherever a part ends; also with bytes below a space."""
+    rnd = random.Random(3)
+    words = [("then" + "".join(rnd.choice("ab\x01!\xe9z") for _ in range(rnd.randint(0, 7)))).encode() for _ in range(300)]
+    rows = group_table([*words, b"the", b"\n", *(b"x" * 90 + bytes([97 + k]) for k in range(3))], rnd)
+    model, found = any_model(), []
+    for size, long in ((1 << 30, 1 << 30), (400, 20), (1, 5)):
+        monkeypatch.setattr(cm, "SPELLED_BYTES", size)
+        monkeypatch.setattr(cm, "LONG_WORD", long)
+        parts = list(cm.group_parts(rows))
+        assert [w for p in parts for w in p.words] == rows["word"].to_pylist()
+        found.append((len(parts), np.concatenate([model.log10(p) for p in parts])))
+    assert found[0][0] == 1 and found[1][0] > 10 and found[2][0] > 200
+    assert np.allclose(found[0][1], found[1][1], atol=1e-9) and np.allclose(found[0][1], found[2][1], atol=1e-9)
+
+
+def test_a_large_group_takes_little_memory():
+    """All words with the same first bytes are of one task: they are spelled some at a time."""
+    rnd = random.Random(4)
+    rows = group_table([b"page%d" % rnd.randrange(10**12) for _ in range(12_000)], rnd)
+    model = any_model()
+    assert len(list(cm.groups(iter(rows.to_batches(5_000))))) == 1
+    tracemalloc.start()
+    try:
+        n = sum(len(model.log10(p)) for p in cm.group_parts(rows))
+        assert n == rows.num_rows > 20_000 and tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
