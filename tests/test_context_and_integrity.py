@@ -49,6 +49,33 @@ def test_active_events_and_combined_factor(spark):
     assert c.active_events(targets, ev.where("false")).count() == 0
 
 
+def test_targets_of_one_date_meet_events_of_all_places_in_blocks(spark):
+    """All targets of a date in one task would leave the other tasks idle; texts are made once an event, not once a row."""
+    kinds = "name string, event_type string, start_date date, end_date date, impact_factor double, place_ids array<long>"
+    events = [(f"e{k}", "holiday", D(2024, 1, 1 + k), None, 0.5 + k / 5, None) for k in range(5)] + [("own", "holiday", D(2024, 1, 1), None, 1.7, [3])]
+    ev = spark.createDataFrame(events, kinds)
+    places = [*range(300), 7, None]
+    targets = spark.createDataFrame([(k, D(2024, 1, 1)) for k in places] + [(1, None)], "place_id long, date date")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would put small partitions together
+    try:
+        active = c.active_events(targets, ev)
+        parts = active.where("scope = 'global'").groupBy(F.spark_partition_id()).count().collect()
+        rows = [(a.place_id, a.name) for a in active.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(parts) > 4
+    order = lambda rows: sorted(rows, key=str)
+    assert order(rows) == order([(p, f"e{k}") for p in places for k in range(5)] + [(3, "own")])
+    factors = c.combined_factor(targets, active)
+    told = c.active_events(targets, c.with_advice(ev))
+    assert order(map(tuple, c.context_advice(factors, told).collect())) == order(map(tuple, c.context_advice(factors, active).collect()))
+    assert c.context_advice(factors, told).where("kind = 'event' and subject = 'own'").first().advice == "Expect 70% higher demand. Increase stock levels."
+    early = c.upcoming_impacts(c.active_events(targets, c.with_impact(ev)))
+    assert order(map(tuple, early.collect())) == order(map(tuple, c.upcoming_impacts(active).collect()))
+    assert early.where("name = 'own'").first().description == "own expected to increase demand by 70%"
+
+
 def test_adjustments_in_order_with_their_audit(spark):
     forecast = spark.createDataFrame([(1, D(2024, 1, 6), 100.0), (2, D(2024, 1, 6), 10.0), (3, D(2024, 1, 7), None)], "item_id long, date date, forecast double")
     events = [
